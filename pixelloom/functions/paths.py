@@ -53,10 +53,11 @@ def components(c: Column) -> Column:
 
 def ancestors(c: Column) -> Column:
     """Folded prefixes of a path, one per component and the shortest first; the last is the path."""
-    parts = components(folded(c))
-    # Joining slices is quadratic in the depth, which is small; it needs no state and no Python.
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "\\"))
-    return F.when(F.size(parts) > 0, prefixes).otherwise(F.array().cast("array<string>"))
+    # The components are bound to a lambda's variable, so that they are split once and not for each
+    # prefix.  Joining slices is quadratic in the depth, which is small.
+    prefixes = lambda parts: F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "\\"))
+    every = F.flatten(F.transform(F.array(components(folded(c))), prefixes))
+    return F.filter(every, lambda p: p != "")
 
 
 def is_under(path: Column, root: Column) -> Column:

@@ -132,7 +132,17 @@ def readings(value: Column, zone: Column, windows: Column) -> Column:
         counts |= {name: F.when(windows, _count(text, *unit)) for name, unit in WINDOWS_COUNTS.items()}
         bare = text.rlike(r"^[+]?\d+(\.\d*)?$")
         found = lambda kinds: F.array(*[F.struct(F.lit(name).alias("notation"), at.alias("epoch_s")) for name, at in kinds.items()])
-        every = F.when(bare & (F.length(text) != 14), found(counts)).when(bare, found({"compact": written["compact"]} | counts)).otherwise(found(written))
+        some = lambda *names: found({n: written[n] for n in names})
+        # How a value begins rules most notations out, so that few of the patterns are tried on it.
+        every = (
+            F.when(bare & ~F.length(text).isin(12, 14), found(counts))
+            .when(bare, found({"compact": written["compact"]} | counts))
+            .when(text.rlike(r"^\d{4}[-:/.]"), some("ymd"))
+            .when(text.rlike(r"^\d{8}"), some("compact"))
+            .when(text.rlike(r"^\d{1,2}[-/.]\d"), some("dmy", "mdy"))
+            .when(text.rlike(r"^(?:\d{1,2}(?:st|nd|rd|th|\.)?[ -])?[A-Za-z]"), some("d_month_y", "month_d_y"))
+            .otherwise(F.array().cast("array<struct<notation:string,epoch_s:bigint>>"))
+        )
         return F.filter(every, lambda x: x["epoch_s"].between(FIRST, LAST - 1))
 
     return _bind(F.trim(F.regexp_replace(value, BLANK, " ")), read)
@@ -157,7 +167,7 @@ def with_zone(files: DataFrame, zones: DataFrame, path: str = "path", out: str =
             return files.withColumn(out, F.lit(None).cast("string"))
         table = F.create_map(*[F.lit(x) for r in known for x in (r["root"], r["tz"])])
         hit = F.filter(F.reverse(ancestors(F.col(path))), lambda a: F.map_contains_key(table, a))
-        return files.withColumn(out, F.when(F.size(hit) > 0, F.element_at(table, F.get(hit, F.lit(0)))))
+        return files.withColumn(out, F.element_at(table, F.get(hit, F.lit(0))))
     paths = files.select(F.col(path).alias("_p")).filter("_p is not null").distinct()
     steps = paths.select("_p", F.posexplode(ancestors(F.col("_p"))).alias("_depth", "root"))
     best = steps.join(zones, "root").groupBy("_p").agg(F.max_by("tz", "_depth").alias(out))
@@ -201,23 +211,8 @@ def normalise(values: DataFrame, min_posterior: float = 0.9) -> DataFrame:
     row for each row of the input: NULL, empty, blank, over-long and meaningless values come out
     with NULL epoch_s and ambiguous false; repeated rows stay repeated.  Readings by different
     notations that name the same instant are no ambiguity."""
-    v = values.select("id", "source", "value", "zone", "windows")
-    # The longest notation has about 60 characters; a longer text is none, and isn't searched.
-    short = F.when(F.length("value") <= 200, F.col("value"))
-    read = v.select("id", "source", "value", readings(short, F.col("zone"), F.col("windows")).alias("_all"))
-    read = read.withColumn("_all", F.when(F.size(F.array_distinct(F.col("_all.epoch_s"))) == 1, F.slice("_all", 1, 1)).otherwise(F.coalesce("_all", F.array())))
-    kinds = F.array_join(F.col("_all.notation"), ",")
-    counts = read.filter(F.size("_all") > 0).groupBy("source", kinds.alias("kinds")).count().collect()
-    fitted = fit_mixtures([(r["source"], tuple(r["kinds"].split(",")), r["count"]) for r in counts])
-    several = {k: p for k, p in fitted.items() if len(k[1]) > 1}
-    if several:
-        pick = F.create_map(*[F.lit(x) for (s, k), p in several.items() for x in (f"{s}|{','.join(k)}", p[0])])
-        sure = F.create_map(*[F.lit(x) for (s, k), p in several.items() for x in (f"{s}|{','.join(k)}", float(p[1]))])
-        key = F.concat_ws("|", "source", kinds)
-        chosen = F.filter("_all", lambda x: x["notation"] == F.coalesce(F.element_at(pick, key), x["notation"]))
-        posterior = F.coalesce(F.element_at(sure, key), F.when(F.size("_all") > 0, 1.0))
-    else:
-        chosen, posterior = F.col("_all"), F.when(F.size("_all") > 0, 1.0)
+    read, several = _read(values)
+    chosen, posterior = _choice(several)
     out = read.select("id", "source", "value", F.get(chosen, F.lit(0)).alias("_one"), posterior.alias("posterior"))
     return out.select(
         "id", "source", "value",
@@ -227,6 +222,32 @@ def normalise(values: DataFrame, min_posterior: float = 0.9) -> DataFrame:
     )
 
 
+def _read(values: DataFrame) -> tuple[DataFrame, dict[tuple[str, tuple[str, ...]], tuple[str, float]]]:
+    """Values with their candidates (``_all``), and the fitted choice where there are several."""
+    v = values.select("id", "source", "value", "zone", "windows")
+    # The longest notation has about 60 characters; a longer text is none, and isn't searched.
+    short = F.when(F.length("value") <= 200, F.col("value"))
+    read = v.select("id", "source", "value", readings(short, F.col("zone"), F.col("windows")).alias("_all"))
+    read = read.select("id", "source", "value", F.when(F.size(F.array_distinct(F.col("_all.epoch_s"))) == 1, F.slice("_all", 1, 1)).otherwise(F.coalesce("_all", F.array())).alias("_all"))
+    # No filter on the candidates here: Spark would push it below and parse every value twice.
+    counts = read.groupBy("source", F.array_join(F.col("_all.notation"), ",").alias("kinds")).count().collect()
+    fitted = fit_mixtures([(r["source"], tuple(r["kinds"].split(",")), r["count"]) for r in counts if r["kinds"]])
+    return read, {k: p for k, p in fitted.items() if len(k[1]) > 1}
+
+
+def _choice(several: dict[tuple[str, tuple[str, ...]], tuple[str, float]]) -> tuple[Column, Column]:
+    """The candidates left by the fitted choice (one at most), and the posterior."""
+    alone = F.when(F.size("_all") > 0, 1.0)
+    if not several:
+        return F.col("_all"), alone
+    named = {f"{s}|{','.join(k)}": p for (s, k), p in several.items()}
+    pick = F.create_map(*[F.lit(x) for k, p in named.items() for x in (k, p[0])])
+    sure = F.create_map(*[F.lit(x) for k, p in named.items() for x in (k, float(p[1]))])
+    key = F.concat_ws("|", "source", F.array_join(F.col("_all.notation"), ","))
+    chosen = F.filter("_all", lambda x: x["notation"] == F.coalesce(F.element_at(pick, key), x["notation"]))
+    return chosen, F.coalesce(F.element_at(sure, key), alone)
+
+
 #: The timestamp fields of a catalogue: whose zone a wall time without one has.
 FIELDS = {"exif_datetime": "root", "sidecar_taken_time": "utc", "mtime": "utc", "resolved_date": "root"}
 
@@ -235,11 +256,16 @@ def catalogue_values(files: DataFrame, roots: DataFrame, zones: DataFrame) -> Da
     """The four timestamp fields of ``files`` as rows for :func:`normalise`, NULL values left out."""
     f = files.select("id", "path", *[F.col(c).cast("string").alias(c) for c in FIELDS])
     f = with_zone(f, root_zones(files.sparkSession, roots, zones))
-    each = [F.struct(F.lit(c).alias("source"), F.col(c).alias("value"), (F.col("zone") if z == "root" else F.lit("UTC")).alias("zone"), F.lit(c == "mtime").alias("windows")) for c, z in FIELDS.items()]
-    return f.select("id", F.explode(F.array(*each)).alias("_v")).select("id", "_v.*").filter("value is not null")
+    each = [F.struct(F.lit(c).alias("source"), F.col(c).alias("value"), F.lit(z).alias("of"), F.lit(c == "mtime").alias("windows")) for c, z in FIELDS.items()]
+    # The zone is worked out once a file, below the explode, which leaves NULL values out itself.
+    f = f.select("id", "zone", F.explode(F.filter(F.array(*each), lambda v: v["value"].isNotNull())).alias("_v"))
+    return f.select("id", "_v.source", "_v.value", F.when(F.col("_v.of") == "root", F.col("zone")).otherwise("UTC").alias("zone"), "_v.windows")
 
 
-def catalogue_instants(files: DataFrame, roots: DataFrame, zones: DataFrame) -> DataFrame:
+def catalogue_instants(files: DataFrame, roots: DataFrame, zones: DataFrame, min_posterior: float = 0.9) -> DataFrame:
     """(file_id, field, epoch_s): the instant of every timestamp field that denotes one."""
-    done = normalise(catalogue_values(files, roots, zones))
-    return done.filter("epoch_s is not null").select(F.col("id").alias("file_id"), F.col("source").alias("field"), "epoch_s")
+    read, several = _read(catalogue_values(files, roots, zones))
+    chosen, posterior = _choice(several)
+    # An explode drops what has no instant without a filter that would repeat the parsing.
+    kept = F.when(posterior >= min_posterior, chosen).otherwise(F.array().cast("array<struct<notation:string,epoch_s:bigint>>"))
+    return read.select(F.col("id").alias("file_id"), F.col("source").alias("field"), F.explode(kept).alias("_one")).select("file_id", "field", "_one.epoch_s")
