@@ -7,3 +7,10 @@ columns of the caller's tables can neither clash with internal names nor widen a
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions of this package travel to the executors by value, so a cluster needs no copy of it.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
