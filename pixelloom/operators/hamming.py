@@ -154,9 +154,9 @@ def _near_in_large(code: np.ndarray, k: int, probe: np.ndarray | None) -> tuple[
     return i, j
 
 
-#: What a task does with the near pairs of a cell: gets the ids and codes of the cell and the index
-#: pairs, and returns columns of the result.
-Emit = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
+#: What a task does with the near pairs of a cell: gets the ids and codes of the cell, the index pairs
+#: and, where codes are marked, the marks; returns columns of the result.
+Emit = Callable[..., tuple[np.ndarray, ...]]
 
 
 def emit_pairs(ident: np.ndarray, code: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -193,7 +193,6 @@ def over_cells(keyed_codes: DataFrame, k: int, schema: str, emit: Emit, tasks: i
     columns = ["id", "code", "cell"] + (["probe"] if marked else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = None
         parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in range(len(columns))] for b in batches if b.num_rows]
         if not parts:
             return
@@ -210,7 +209,7 @@ def over_cells(keyed_codes: DataFrame, k: int, schema: str, emit: Emit, tasks: i
                 continue
             i, j = near_in_cell(code[s:e], k, None if probe is None else probe[s:e])
             if len(i):
-                got = emit(ident[s:e], code[s:e], i, j)
+                got = emit(ident[s:e], code[s:e], i, j, probe[s:e]) if marked else emit(ident[s:e], code[s:e], i, j)
                 waiting.append(got)
                 size += len(got[0])
             if size > 200_000:
