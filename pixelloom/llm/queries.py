@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, components, consensus, hnsw, mixing
+from pixelloom.llm import bpe, components, consensus, history, hnsw, mixing
 from pixelloom.plans.tables import table
 
 #: Two picture hashes are near if at most so many of their bits differ.
@@ -44,6 +44,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("file_a"), F.col("b").alias("file_b"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch_no, file_id): incoming rows that bring nothing new."""
+    return history.already_known(table(spark, folder, "hashes").select("blake3", "dhash"), table(spark, folder, "incoming_hashes"), NEAR_BITS)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, ids): the token ids of every document."""
     return bpe.encode_texts(table(spark, folder, "documents"))
@@ -64,7 +69,7 @@ def p8_temperature(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.tempered_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_consensus_path, p4_found, p5_found, p7_ids, p8_mix, p8_shares, p8_temperature)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_consensus_path, p4_found, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p8_temperature)}
 
 _NEAR = """d AS (SELECT file_id, dhash FROM hashes WHERE dhash IS NOT NULL AND dhash <> 0 AND file_id IS NOT NULL),
 u AS (SELECT dhash, min(file_id) AS rep, count(*) AS n FROM d GROUP BY dhash),
