@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, components, consensus, history, hnsw, mixing
+from pixelloom.llm import bpe, components, consensus, history, hnsw, mixing, subjects
 from pixelloom.plans.tables import table
 
 #: Two picture hashes are near if at most so many of their bits differ.
@@ -69,7 +69,18 @@ def p8_temperature(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.tempered_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_consensus_path, p4_found, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p8_temperature)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, subject): the subjects that at least three of a document's sentences are about."""
+    return subjects.subject_areas(*(table(spark, folder, t) for t in ("documents", "doc_labels", "subjects"))).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """(subject, docs, sentences): the corpus by subject."""
+    found = subjects.subject_areas(*(table(spark, folder, t) for t in ("documents", "doc_labels", "subjects")))
+    return found.groupBy("subject").agg(F.count("*").alias("docs"), F.sum("n_sentences").alias("sentences"))
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p2_consensus_path, p4_found, p5_found, p6_found, p7_ids, p8_mix, p8_shares, p8_temperature, p9_found, p9_composition)}
 
 _NEAR = """d AS (SELECT file_id, dhash FROM hashes WHERE dhash IS NOT NULL AND dhash <> 0 AND file_id IS NOT NULL),
 u AS (SELECT dhash, min(file_id) AS rep, count(*) AS n FROM d GROUP BY dhash),
