@@ -282,12 +282,12 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     cfg = cfg or Settings()
     model = fit(*training_sample(documents, labels, subjects, cfg), cfg)
     # Bounded by the sample: a few dozen MB of n-gram ratios.
-    shipped = documents.sparkSession.sparkContext.broadcast(model)
+    shipped = documents.sparkSession.sparkContext.broadcast((model.subjects, model.keys, model.ratios, model.threshold))
     need = cfg.sentences
     d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
+        model = SubjectModel(*shipped.value)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for rows, parts, doc in _pieces(batch.column(1)):
