@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.plans import data_queries
+from pixelloom.plans import catalogue_queries, data_queries
 
-MODULES = (data_queries,)
+MODULES = (catalogue_queries, data_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
