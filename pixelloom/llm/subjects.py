@@ -41,17 +41,15 @@ _PAD = "\x01" * (ORDER - 1)
 class Settings:
     """``train_docs`` bounds the labelled documents that fitting sees; ``sentences`` is how many of a
     document's sentences must be about a subject.  ``pull`` and ``subject_pull`` are the weights, in
-    counts, of what an estimate is drawn to; ``outside`` is the handicap, in nats, of a subject that a
-    training sentence's document is not labelled with, since a few labels are wrong or missing;
-    ``nothing`` is the log ratio at which a sentence is as likely about nothing."""
+    counts, of what an estimate is drawn to; ``nothing`` is the log ratio at which a training sentence
+    is as likely about nothing."""
 
     train_docs: int = 3_000
     sentences: int = 3
-    rounds: int = 4
+    rounds: int = 5
     pull: tuple[float, ...] = (0.0, 5.0, 4.0, 3.0, 2.0, 2.0, 2.0)
-    subject_pull: float = 4.0
+    subject_pull: float = 8.0
     least_count: float = 2.0
-    outside: float = 6.0
     nothing: float = 0.7
 
 
@@ -202,9 +200,9 @@ def _fit_models(parts: list[str], doc: np.ndarray, allowed: np.ndarray, names: l
         # Against its own background each class has one likelihood ratio; none of them is at 0.
         total = np.stack([np.bincount(counts.sentence, ratio[ORDER][counts.ident[ORDER], c], len(parts)) for c in range(len(names))], 1)
         score = np.concatenate([total, np.full((len(parts), 1), cfg.nothing)], axis=1)
-        score -= np.where(may, 0.0, cfg.outside + 4.0 * (turn == 0))
+        score = np.where(may, score, -np.inf)
         score -= score.max(1, keepdims=True)
-        weight = np.exp(np.maximum(score / 2, -30.0))
+        weight = np.exp(np.maximum(score / 2, -30.0)) * may
         weight *= share[:, None] / weight.sum(1, keepdims=True)
     model = SubjectModel(names)
     for n in range(LOWEST, ORDER + 1):
