@@ -228,9 +228,11 @@ def _read(values: DataFrame) -> tuple[DataFrame, dict[tuple[str, tuple[str, ...]
     # The longest notation has about 60 characters; a longer text is none, and isn't searched.
     short = F.when(F.length("value") <= 200, F.col("value"))
     read = v.select("id", "source", "value", readings(short, F.col("zone"), F.col("windows")).alias("_all"))
-    read = read.select("id", "source", "value", F.when(F.size(F.array_distinct(F.col("_all.epoch_s"))) == 1, F.slice("_all", 1, 1)).otherwise(F.coalesce("_all", F.array())).alias("_all"))
+    # Readings that agree are one candidate, but no evidence for the first of their notations.
+    one = F.when(F.size(F.array_distinct(F.col("_all.epoch_s"))) == 1, F.slice("_all", 1, 1)).otherwise(F.coalesce("_all", F.array()))
     # No filter on the candidates here: Spark would push it below and parse every value twice.
     counts = read.groupBy("source", F.array_join(F.col("_all.notation"), ",").alias("kinds")).count().collect()
+    read = read.select("id", "source", "value", one.alias("_all"))
     fitted = fit_mixtures([(r["source"], tuple(r["kinds"].split(",")), r["count"]) for r in counts if r["kinds"]])
     return read, {k: p for k, p in fitted.items() if len(k[1]) > 1}
 
