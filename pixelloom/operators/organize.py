@@ -42,7 +42,8 @@ def collision_safe(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame
         p = p.unionByName(t.select(F.lit(None).cast("bigint").alias("file_id"), F.lit(None).cast("string").alias("src"), "dst").withColumn("_family", F.concat_ws("\0", piece(1), piece(2), piece(4))).withColumn("_literal", F.lit(True)))
     mixed = p.groupBy("_family").agg(F.max("_literal").alias("_mixed"), F.count("*").alias("_n"))
     p = p.join(mixed, "_family")
-    numbered = lambda n: F.when(n == 0, F.col("dst")).otherwise(F.concat(F.regexp_extract("dst", r"^(.*?)(\.[^.\\]*)?$", 1), F.lit(" ("), n.cast("string"), F.lit(")"), F.regexp_extract("dst", r"^(.*?)(\.[^.\\]*)?$", 2)))
+    named = r"^((?:.*\\)?.+?)(\.[^.\\]*)?$"  # a leading dot belongs to the stem
+    numbered = lambda n: F.when(n == 0, F.col("dst")).otherwise(F.concat(F.regexp_extract("dst", named, 1), F.lit(" ("), n.cast("string"), F.lit(")"), F.regexp_extract("dst", named, 2)))
     alone = p.filter("not _mixed and _n = 1").select("file_id", "src", "dst")
     ranked = _rank(p.filter("not _mixed and _n > 1").select("file_id", "src", "dst", "_family"))
     simple = ranked.select("file_id", "src", numbered(F.col("_rank")).alias("dst"))
