@@ -51,6 +51,7 @@ class Settings:
     subject_pull: float = 8.0
     least_count: float = 2.0
     nothing: float = 0.7
+    first_nothing: float = 0.1
 
 
 def sentences(text: str) -> list[str]:
@@ -116,8 +117,8 @@ class SubjectModel:
 def decide(total: np.ndarray, letters: np.ndarray, threshold: np.ndarray) -> np.ndarray:
     """The subject of each sentence, -1 for none: the one of the largest drop in cross-entropy, if the
     drop reaches the subject's threshold (nats in all, spread over the sentence's letters)."""
-    if not len(total):
-        return np.empty(0, np.int64)
+    if not total.size:
+        return np.full(len(total), -1, np.int64)
     per_letter = total / np.maximum(letters, 1)[:, None]
     best = per_letter.argmax(axis=1)
     line = np.arange(len(total))
@@ -192,14 +193,15 @@ def _fit_models(parts: list[str], doc: np.ndarray, allowed: np.ndarray, names: l
     # What recurs under every subject is filler: to start from, a sentence is none's by half.
     # A document speaks with the root of its length, so that a long one doesn't make a model alone.
     share = 2 / np.sqrt(np.bincount(doc, minlength=len(allowed)))[doc]
-    weight = may * share[:, None] / np.maximum(may.sum(1, keepdims=True), 1)
+    weight = may * np.r_[np.ones(len(names)), cfg.first_nothing]
+    weight *= share[:, None] / weight.sum(1, keepdims=True)
     for turn in range(cfg.rounds + 1):
         count, ratio = counts.log_models(weight, cfg)
         if turn == cfg.rounds:
             break
         # Against its own background each class has one likelihood ratio; none of them is at 0.
         total = np.stack([np.bincount(counts.sentence, ratio[ORDER][counts.ident[ORDER], c], len(parts)) for c in range(len(names))], 1)
-        score = np.concatenate([total, np.full((len(parts), 1), cfg.nothing)], axis=1)
+        score = np.concatenate([total, np.full((len(parts), 1), cfg.nothing - (3.0 if turn < 2 else 0.0))], axis=1)
         score = np.where(may, score, -np.inf)
         score -= score.max(1, keepdims=True)
         weight = np.exp(np.maximum(score / 2, -30.0)) * may
