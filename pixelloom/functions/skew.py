@@ -24,3 +24,12 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int
     if how == "left":
         return left.join(hot, key).unionByName(left.join(F.broadcast(keys), key, "left_anti").join(cold, key, "left"))
     raise ValueError(how)
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner", floor: int = 20_000) -> DataFrame:
+    """:func:`join_hot` for a ``right`` side (one row a key) that doesn't know how often its keys occur
+    on the left: they are counted first, pre-aggregated, unless ``left`` is small."""
+    if total < max(total // HOT_SHARE, floor):
+        return left.join(right, key, how)
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    return join_hot(left, right.join(counts, key), key, "_n", total, how, floor).drop("_n")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom import cli, schemas
 from pixelloom.functions import dates, paths, values
-from pixelloom.functions.skew import join_hot
+from pixelloom.functions.skew import join_hot, lookup
 from pixelloom.operators import catalogue, classify, duplicates, indexing, organize
 from pixelloom.session import Staging, fan_out
 from pixelloom.sinks.store import Store
@@ -248,6 +248,8 @@ def test_hot_keys_join_like_any(spark):
     for how in ("inner", "left"):
         hot = join_hot(left, right, "k", "n", 3000, how, floor=10)
         assert sorted(hot.collect(), key=str) == sorted(left.join(right, "k", how).collect(), key=str)
+        for floor in (10, 10**6):
+            assert sorted(lookup(left, right.drop("n"), "k", 3000, how, floor).collect(), key=str) == sorted(left.join(right.drop("n"), "k", how).collect(), key=str)
 
 
 def test_staging_and_fan_out(spark):
