@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.functions.skew import join_hot
+from pixelloom.functions.skew import join_hot, lookup
 from pixelloom.operators import hamming
 from pixelloom.session import Staging, staging
 
@@ -22,7 +22,8 @@ def _jump(area: Staging, parents: DataFrame) -> DataFrame:
     """Pointer jumping: (node, label) with every label a root, from labels that are parents."""
     while True:
         up = parents.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        moved = parents.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("above"), F.col("label").alias("before"))
+        # Very many nodes may share a label, which makes it a hot key.
+        moved = lookup(parents.select("node", "label"), up, "label", parents.count(), "left").select("node", F.coalesce("above", "label").alias("above"), F.col("label").alias("before"))
         new = area.write(moved.select("node", F.col("above").alias("label"), (F.col("above") != F.col("before")).alias("moved")))
         area.drop(parents)
         parents = new
@@ -37,7 +38,7 @@ def connected_components(edges: DataFrame, area: Staging) -> DataFrame:
     direction count once; no edges give an empty result.  ``area`` holds the rounds' tables."""
     e = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).filter("a is not null and b is not null")
     first = area.write(e)
-    current = first
+    current, size = first, first.count()
     labels: DataFrame | None = None
     while True:
         both = current.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(current.select(F.col("b").alias("node"), F.col("a").alias("near")))
@@ -49,14 +50,16 @@ def connected_components(edges: DataFrame, area: Staging) -> DataFrame:
             new = to
         else:
             up = to.select(F.col("node").alias("label"), F.col("label").alias("_root"))
-            new = labels.select("node", "label").join(up, "label", "left").select("node", F.coalesce("_root", "label").alias("label"))
+            new = lookup(labels.select("node", "label"), up, "label", labels.count(), "left").select("node", F.coalesce("_root", "label").alias("label"))
         new_labels = area.write(new)
         at = lambda c, out: to.select(F.col("node").alias(c), F.col("label").alias(out))
-        renamed = current.join(at("a", "_a"), "a").join(at("b", "_b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).filter("a <> b").distinct()
+        # A hub is a hot key on either side of its edges.
+        renamed = lookup(lookup(current, at("a", "_a"), "a", size), at("b", "_b"), "b", size).select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).filter("a <> b").distinct()
         left = area.write(renamed)
         area.drop(current, labels, roots)
         labels, current = new_labels, left
-        if left.limit(1).count() == 0:
+        size = left.count()
+        if not size:
             area.drop(left)
             return labels
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.skew import join_hot
+from pixelloom.session import Staging
 
 #: Distinct values aligned in one block, and profiles merged in one step.
 BLOCK, FAN_IN = 256, 16
@@ -149,9 +150,12 @@ def consensus_of_tokens(values: DataFrame, tokens: Column, max_tokens: int = 400
     v = values.select("group", "value").filter("group is not null and value is not null")
     pooled = v.groupBy("group", "value").agg(F.count("*").cast("double").alias("votes"))
     pooled = pooled.withColumn("tokens", tokens).withColumn("tokens", F.when(F.size("tokens").between(1, max_tokens), F.col("tokens")).otherwise(F.array("value")))
+    area = Staging(values.sparkSession, "consensus")
+    pooled = area.write(pooled)
+    total = pooled.count()
     sizes = pooled.groupBy("group").agg(F.count("*").alias("n"))
     # Groups of one distinct value are their own consensus and meet no Python.
-    spread = join_hot(pooled, sizes, "group", "n", int(pooled.count()))
+    spread = join_hot(pooled, sizes, "group", "n", total)
     single = spread.filter("n = 1").select("group", "value", F.lit(0).alias("distance"), F.col("votes").cast("bigint").alias("votes"))
     several = spread.filter("n > 1").withColumn("block", F.pmod(F.xxhash64("value"), F.ceil(F.col("n") / BLOCK)))
 
@@ -182,7 +186,7 @@ def consensus_of_tokens(values: DataFrame, tokens: Column, max_tokens: int = 400
         return pd.Series([token_distance(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
 
     agreed = profiles.select("group", winners("profile").alias("consensus")).join(sizes, "group")
-    met = join_hot(several.drop("n"), agreed, "group", "n", int(pooled.count()))
+    met = join_hot(several.drop("n"), agreed, "group", "n", total)
     scored = met.select("group", "value", "votes", distance("tokens", "consensus").alias("distance"))
     best = scored.groupBy("group").agg(F.min(F.struct("distance", (-F.col("votes")).alias("against"), "value")).alias("_b"))
     return single.unionByName(best.select("group", F.col("_b.value").alias("value"), F.col("_b.distance").cast("int").alias("distance"), (-F.col("_b.against")).cast("bigint").alias("votes")))
