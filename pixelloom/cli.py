@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
     files = store.read("files")
     if a.command == "index":
         skips = [r["path"] for r in store.read("skip_dirs").collect()]
-        rows, stats = indexing.index(scan.enumerate_images(spark, a.folder, skips), files)
+        rows, stats = indexing.index(scan.enumerate_images(spark, a.folder, skips), files, a.folder)
         store.write("files", catalogue.upsert_files(files, rows))
         store.write("hashes", catalogue.upsert_hashes(store.read("hashes"), rows.select("path", "blake3", "dhash"), store.read("files")))
         now = spark.createDataFrame([(a.folder, int(began), stats["scanned"], stats["added"], stats["skipped"], stats["errors"])], "path string, last_scan_ts bigint, scanned bigint, added bigint, skipped bigint, errors bigint")

@@ -86,13 +86,18 @@ def catalogue_rows(read: DataFrame) -> DataFrame:
     )
 
 
-def index(listed: DataFrame, files: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+def index(listed: DataFrame, files: DataFrame, folder: str | None = None) -> tuple[DataFrame, dict[str, int]]:
     """New catalogue rows of a scan, and its counts (scanned, added, skipped, errors).  Unchanged files
-    are left out before anything is opened; the rows are written once, so nothing is read twice."""
+    are left out before anything is opened; the rows are written once, so nothing is read twice.
+    With ``folder``, pictures that are no PNG get their hash from Spark's image source below it."""
     spark = listed.sparkSession
     with staging(spark, "index") as area:
         scan = area.write(listed)
         read = area.write(read_files(changed_since(scan, files)))
+        open_ = read.filter("error is null and dhash is null").select("path", "orientation")
+        if folder is not None and open_.limit(1).count():
+            more = images.decoded_hashes(spark, folder, open_).join(open_.select("path"), "path", "left_semi").select("path", F.col("dhash").alias("_d"))
+            read = area.write(read.join(more, "path", "left").withColumn("dhash", F.coalesce("dhash", "_d")).drop("_d"))
         counts = read.agg(F.count_if(F.col("error").isNull()).alias("added"), F.count_if(F.col("error").isNotNull()).alias("errors")).first()
         scanned = scan.count()
         stats = {"scanned": scanned, "added": counts["added"], "skipped": scanned - counts["added"] - counts["errors"], "errors": counts["errors"]}

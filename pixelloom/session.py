@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,12 @@ class Staging:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/pixelloom-{purpose}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        # Its tables serve results that are read later, so they go when the application does.
+        atexit.register(self._delete_quietly)
+
+    def _delete_quietly(self) -> None:
+        with suppress(Exception):  # the session may be gone
+            self._delete(self.root)
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         self.count += 1

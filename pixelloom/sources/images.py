@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions.values import arrow_udf
@@ -58,7 +58,13 @@ def header_dimensions(data: Column) -> Column:
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    """Grey values (height, width) of a PNG of 8 bits a channel, not interlaced; ValueError for others."""
+    """Grey values (height, width) of a PNG; see :func:`png_pixels`."""
+    px = png_pixels(data)
+    return grey(px) if px.shape[2] >= 3 else px[:, :, 0].astype(np.float64)
+
+
+def png_pixels(data: bytes) -> np.ndarray:
+    """Channels (height, width, n) of a PNG of 8 bits a channel, not interlaced; ValueError for others."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
     w, h, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", data[16:29])
@@ -94,11 +100,64 @@ def decode_png(data: bytes) -> np.ndarray:
                 line[x] = (line[x] + near) & 255
         out[y], above = line, line
     px = out.reshape(h, w, channels)
-    if kind == 3:
-        px = palette[px[:, :, 0]]
-    if px.shape[2] < 3:
-        return px[:, :, 0].astype(np.float64)
-    return grey(px)
+    return palette[px[:, :, 0]] if kind == 3 else px
+
+
+def encode_png(pixels: np.ndarray) -> bytes:
+    """A PNG of 8-bit channels (height, width, 1 to 4)."""
+    h, w, n = pixels.shape
+    chunk = lambda name, d: struct.pack(">I", len(d)) + name + d + struct.pack(">I", zlib.crc32(name + d))
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), pixels.reshape(h, w * n)], axis=1)
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[n], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def thumbnail(data: bytes, edge: int) -> bytes:
+    """A PNG of an image's PNG whose longer side is at most ``edge`` (from 64 to 1024), in proportion;
+    a smaller image keeps its size.  ValueError for what can't be decoded."""
+    px, edge = png_pixels(data).astype(np.float64), max(64, min(1024, edge))
+    h, w = px.shape[:2]
+    scale = min(1.0, edge / max(h, w))
+    th, tw = max(1, round(h * scale)), max(1, round(w * scale))
+    small = np.stack([_lanczos(h, th) @ px[:, :, i] @ _lanczos(w, tw).T for i in range(px.shape[2])], axis=2)
+    return encode_png(np.clip(np.rint(small), 0, 255).astype(np.uint8))
+
+
+def image_thumbnail(data: Column, edge: int = 256) -> Column:
+    """Thumbnails of a binary column; NULL for what can't be decoded."""
+
+    def one(d: bytes | None) -> bytes | None:
+        try:
+            return thumbnail(d or b"", edge)
+        except (ValueError, struct.error, zlib.error):
+            return None
+
+    return arrow_udf(lambda data: pd.Series([one(d) for d in data], dtype=object), "binary")(data)
+
+
+def _plain_path(origin: Column) -> Column:
+    """A file's path of its URI, in which all but a plus is percent-encoded."""
+    return F.url_decode(F.regexp_replace(F.regexp_replace(origin, "^file:(?://)?", ""), r"\+", "%2B"))
+
+
+def decoded_hashes(spark: SparkSession, folder: str, orientation: DataFrame | None = None) -> DataFrame:
+    """(path, width, height, dhash) of all images below a folder that Spark's image source decodes
+    (JPEG, PNG, BMP, GIF), turned upright by ``orientation`` (path, orientation).  That source skips
+    folders whose names begin with a dot or an underscore; what it can't decode is left out."""
+    df = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
+    df = df.select(_plain_path(F.col("image.origin")).alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
+    turned = df.withColumn("orientation", F.lit(None).cast("bigint")) if orientation is None else df.join(orientation.select("path", "orientation"), "path", "left")
+
+    def run(h: pd.Series, w: pd.Series, n: pd.Series, data: pd.Series, turn: pd.Series) -> pd.Series:
+        out = []
+        for height, width, channels, d, o in zip(h, w, n, data, turn):
+            px = np.frombuffer(d, np.uint8).reshape(height, width, channels)
+            g = px[:, :, 0].astype(np.float64) if channels < 3 else grey(px[:, :, 2::-1])
+            out.append(dhash(oriented(g, None if pd.isna(o) else int(o))))
+        return pd.Series(out, dtype="Int64")
+
+    hashed = arrow_udf(run, "bigint")("height", "width", "nChannels", "data", "orientation")
+    return turned.select("path", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"), hashed.alias("dhash"))
 
 
 def grey(rgb: np.ndarray) -> np.ndarray:

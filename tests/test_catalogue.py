@@ -276,6 +276,30 @@ def album(tmp_path):
     return root
 
 
+def test_thumbnails():
+    p = np.stack([photo(1, 200)] * 3, axis=2)
+    small = images.thumbnail(images.encode_png(p[:, :100]), 80)
+    assert images.dimensions(small) == (40, 80) and images.png_pixels(small).shape == (80, 40, 3)
+    assert images.dimensions(images.thumbnail(png(photo(1, 32)), 64)) == (32, 32)
+    with pytest.raises(ValueError):
+        images.thumbnail(b"x", 64)
+
+
+def test_jpegs_are_hashed_by_the_image_source(spark, tmp_path):
+    jvm, p = spark._jvm, photo(4)
+    img = jvm.java.awt.image.BufferedImage(64, 64, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    for y in range(64):
+        for x in range(64):
+            img.setRGB(x, y, int(p[y, x]) * 0x010101)
+    jvm.javax.imageio.ImageIO.write(img, "jpg", jvm.java.io.File(str(tmp_path / "a b.jpg")))
+    (tmp_path / "bad.jpg").write_bytes(b"no picture")
+    rows, stats = indexing.index(scan.enumerate_images(spark, str(tmp_path)), files_frame(spark, []), str(tmp_path))
+    got = {os.path.basename(r["path"]): r for r in rows.collect()}
+    assert stats["added"] == 2 and got["bad.jpg"]["dhash"] is None and got["a b.jpg"]["width"] == 64
+    apart = np.bitwise_count(np.array([got["a b.jpg"]["dhash"] ^ images.dhash(p.astype(float))]).view(np.uint64))
+    assert apart[0] <= 5
+
+
 def test_index_resume_and_sources(spark, album, tmp_path):
     store = Store(spark, str(tmp_path / "db"))
     store.create()
