@@ -9,11 +9,9 @@ import time
 from pyspark.sql import functions as F
 
 from pixelloom import session
-from pixelloom.operators import catalogue, classify, duplicates, indexing, organize
-from pixelloom.sinks import files as sink
+from pixelloom.operators import duplicates
+from pixelloom.service import Service
 from pixelloom.sinks.store import Store
-from pixelloom.sources import scan
-from pixelloom.sources.labels import read_labels
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -55,65 +53,38 @@ def _print_report(report, members, limit: int = 50) -> None:
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     began = time.time()
-    spark = session.build_session(a.master)
-    store = Store(spark, a.db)
-    store.create()
-    files = store.read("files")
+    service = Service(Store(session.build_session(a.master), a.db))
     if a.command == "index":
-        skips = [r["path"] for r in store.read("skip_dirs").collect()]
-        rows, stats = indexing.index(scan.enumerate_images(spark, a.folder, skips), files, a.folder)
-        store.write("files", catalogue.upsert_files(files, rows))
-        store.write("hashes", catalogue.upsert_hashes(store.read("hashes"), rows.select("path", "blake3", "dhash"), store.read("files")))
-        now = spark.createDataFrame([(a.folder, int(began), stats["scanned"], stats["added"], stats["skipped"], stats["errors"])], "path string, last_scan_ts bigint, scanned bigint, added bigint, skipped bigint, errors bigint")
-        store.write("scan_roots", catalogue.record_scan_root(store.read("scan_roots"), now))
-        print(" ".join(f"{k}={v}" for k, v in stats.items()))
+        print(" ".join(f"{k}={v}" for k, v in service.scan_dir(a.folder).items()))
     elif a.command == "dupes":
-        members = duplicates.exact_members(files, store.read("hashes"))
-        _print_report(duplicates.report(members, 0), members)
+        _print_report(*service.exact_dupes())
     elif a.command == "near-dupes":
-        members = duplicates.with_catalogue(duplicates.near_groups(store.read("hashes"), a.k, a.method), files)
-        _print_report(duplicates.report(members, a.k), members)
+        _print_report(*service.near_dupes(a.k, a.method))
     elif a.command == "organize":
-        plan = organize.plan_by_date(files, a.target)
-        if not a.apply:
-            for r in plan.orderBy("src").limit(1000).collect():
-                print(f"{r['src']} -> {r['dst']}")
+        if a.apply:
+            print(service.organize(a.target, a.copy))
         else:
-            with session.staging(spark, "moves") as area:
-                done = area.write(sink.execute(area.write(plan), "copy" if a.copy else "move"))
-                log = store.read("undo_log")
-                after = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-                store.write("undo_log", log.unionByName(sink.log_entries(done, after, int(began))))
-                if not a.copy:
-                    store.write("files", organize.after_moves(files, done.filter("error is null").select("file_id", "dst")))
-                print(organize.outcome_counts(done).first().asDict())
+            for r in service.organize_plan(a.target).orderBy("src").limit(1000).collect():
+                print(f"{r['src']} -> {r['dst']}")
     elif a.command == "classify":
-        store.write("files", classify.relabelled(files))
-        print(classify.label_counts(classify.classified(files)).first().asDict())
+        print(service.run_classifier())
     elif a.command == "accuracy":
-        print(classify.accuracy(read_labels(spark, a.labels), files).first().asDict())
+        print(service.accuracy(a.labels))
     elif a.command == "undo":
-        with session.staging(spark, "undo") as area:
-            log = store.read("undo_log")
-            done = area.write(sink.undo(area.write(organize.last_moves(log, a.count))))
-            back = done.filter("error is null")
-            store.write("files", organize.after_undo(files, back))
-            store.write("undo_log", log.join(back.select("id"), "id", "left_anti"))
-            print(organize.outcome_counts(done).first().asDict())
+        print(service.undo_moves(a.count))
     elif a.command == "status":
-        print({"files": files.count(), "hashes": store.read("hashes").count(), "log": store.read("undo_log").count()})
-        for r in store.read("scan_roots").orderBy(F.desc("last_scan_ts")).collect():
+        print(service.status())
+        for r in service.scan_roots().collect():
             print(r.asDict())
     else:
-        skips = store.read("skip_dirs")
         if a.action != "list" and not a.path:
             print("a path is needed", file=sys.stderr)
             return 2
         if a.action == "add":
-            store.write("skip_dirs", catalogue.add_skip_dir(skips, a.path))
+            service.add_skip_dir(a.path)
         elif a.action == "remove":
-            store.write("skip_dirs", catalogue.remove_skip_dir(skips, a.path))
-        for r in store.read("skip_dirs").orderBy("path").collect():
+            service.remove_skip_dir(a.path)
+        for r in service.skip_dirs().collect():
             print(r["path"])
     print(f"{time.time() - began:.1f} s")
     return 0

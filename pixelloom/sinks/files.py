@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 DONE = "file_id bigint, src string, dst string, op string, error string"
 
 
+def native(path: str) -> str:
+    r"""A planned path as this system writes it: plans use backslashes throughout, and a path from the
+    root of a POSIX system gets its slashes back.  Drive and network paths stay as they are."""
+    return path.replace("\\", "/") if os.sep == "/" and path[:1] == "\\" and path[1:2] != "\\" else path
+
+
 def execute_one(src: str, dst: str, op: str) -> str | None:
     """Moves or copies a file, creating the folder; the error's text, or None.  A move across file
     systems is a copy and a removal.  An existing target is never replaced."""
@@ -38,6 +44,7 @@ def execute(plan: DataFrame, op: str = "move") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b = b.assign(dst=[native(d) for d in b["dst"]])
             yield b.assign(op=op, error=pd.Series([execute_one(s, d, op) for s, d in zip(b["src"], b["dst"])], index=b.index, dtype=object))
 
     return plan.select("file_id", "src", "dst").mapInPandas(run, DONE)

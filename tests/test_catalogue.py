@@ -11,6 +11,7 @@ from pixelloom import cli, schemas
 from pixelloom.functions import dates, paths, values
 from pixelloom.functions.skew import join_hot, lookup
 from pixelloom.operators import catalogue, classify, duplicates, indexing, organize
+from pixelloom.service import Service
 from pixelloom.session import Staging, fan_out
 from pixelloom.sinks.store import Store
 from pixelloom.sources import exif, images, scan, sidecar
@@ -318,6 +319,33 @@ def test_index_resume_and_sources(spark, album, tmp_path):
     assert store._versions("files") == [1, 2]
 
 
+def test_moves_are_carried_out_and_undone(spark, album, tmp_path):
+    service = Service(Store(spark, str(tmp_path / "db")))
+    assert service.scan_dir(str(album))["added"] == 4
+    before = {r["path"] for r in service._table("files").collect()}
+    target = tmp_path / "sorted"
+    plan = service.organize_plan(str(target))
+    assert plan.count() == 4 == plan.select("dst").distinct().count()
+    assert service.organize(str(target)) == {"moved": 4, "errors": 0}
+    moved = {r["path"] for r in service._table("files").collect()}
+    assert moved == {str(p) for p in target.rglob("*.*") if p.is_file()} and (target / "2023" / "01" / "IMG_20230115_101010.png").exists()
+    assert service.organize_plan(str(target)).count() == 0
+    assert service.undo_moves(10) == {"moved": 4, "errors": 0}
+    assert {r["path"] for r in service._table("files").collect()} == before == {p for p in before if os.path.exists(p)}
+    assert service._table("undo_log").count() == 0
+    assert service.organize(str(target), copy=True)["moved"] == 4 and service.undo_moves(5) == {"moved": 0, "errors": 0}
+    one = str(album / "plain.png")
+    assert service.move_to_duplicates([one, str(album / "gone.png")]) == {"moved": 1, "errors": 1}
+    assert (album / "_Duplicates" / "plain.png").exists() and service.move_to_duplicates([]) == {"moved": 0, "errors": 0}
+    assert service.run_classifier()["non_photo"] == 4
+    queue = service.review_queue(2).collect()
+    service.set_label(queue[0]["id"], "photo")
+    assert service.export_labels(str(tmp_path / "labels")) == 1 and service.review_queue().count() == 3
+    with pytest.raises(ValueError):
+        service.set_label(1, "cat")
+    assert service.thumbnail(str(album / "b.PNG"), 64).startswith("data:image/png;base64,") and service.thumbnail("nowhere") is None
+
+
 def test_listing_stream(spark, tmp_path):
     store = Store(spark, str(tmp_path / "db"))
     store.write("files", files_frame(spark, [{"id": 1, "path": "a", "size": 1, "mtime": 1}]))
