@@ -265,13 +265,17 @@ def fit(texts: list[str], labels: list[set[str]], names: list[str], cfg: Setting
 
 def training_sample(documents: DataFrame, labels: DataFrame, subjects: DataFrame, cfg: Settings) -> tuple[list[str], list[set[str]], list[str]]:
     """Texts, their sets of subjects and all subjects' names; at most ``cfg.train_docs`` documents,
-    chosen by a hash of their id.  Labels of unknown subjects or documents and NULLs are left out."""
+    chosen by a hash of their id among the labelled ones.  Labels of unknown subjects or documents,
+    NULLs and blank texts are left out."""
     names = sorted(r[0] for r in subjects.select("subject").filter("subject is not null").distinct().collect())
     known = labels.select("doc_id", "subject").filter("doc_id is not null").join(F.broadcast(subjects.select("subject").distinct()), "subject")
     sets = known.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
+    # The ids are chosen before any text is touched: the bounded choice is broadcast, and documents are
+    # scanned once and not shuffled.
+    chosen = sets.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.train_docs)
     texts = documents.select("doc_id", "text").filter("text is not null and trim(text) <> ''")
-    chosen = sets.join(texts, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.train_docs)
-    rows = chosen.select("text", "subjects").collect()
+    chosen = texts.join(F.broadcast(chosen), "doc_id")
+    rows = sorted(chosen.select("doc_id", "text", "subjects").collect(), key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [set(r["subjects"]) for r in rows], names
 
 
