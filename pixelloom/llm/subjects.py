@@ -274,7 +274,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, subjects: DataFrame
     # scanned once and not shuffled.
     chosen = sets.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.train_docs)
     texts = documents.select("doc_id", "text").filter("text is not null and trim(text) <> ''")
-    chosen = texts.join(F.broadcast(chosen), "doc_id")
+    chosen = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("subjects").alias("subjects"))
     rows = sorted(chosen.select("doc_id", "text", "subjects").collect(), key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [set(r["subjects"]) for r in rows], names
 
