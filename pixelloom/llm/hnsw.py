@@ -76,10 +76,11 @@ class FlatGraph:
                 if not len(active):
                     break
             # The nearest unexpanded nodes of each query, up to ``width`` of them.
-            pick = open_ & (np.cumsum(open_, axis=1) <= width)
-            order = np.argsort(~pick, axis=1, kind="stable")[:, :width]
-            chosen = np.take_along_axis(pick, order, 1)
-            nodes = np.where(chosen, (np.take_along_axis(rows, order, 1) & (_ID * 2 - 1)) >> 1, -1)
+            nth = np.cumsum(open_, axis=1)
+            pick = open_ & (nth <= width)
+            r, c = np.nonzero(pick)
+            nodes = np.full((len(active), width), -1, np.int64)
+            nodes[r, nth[r, c] - 1] = (rows[r, c] & (_ID * 2 - 1)) >> 1
             rows |= pick
             near = links[nodes]
             near[nodes < 0] = -1
@@ -89,11 +90,9 @@ class FlatGraph:
             seen[active[:, None], near] = True
             keys = np.concatenate([rows, self._keys(queries[active], near)], axis=1)
             keys.sort(axis=1)
-            # Two expanded nodes may share a fresh neighbour: of equal keys one stays.
-            same = keys[:, 1:] == keys[:, :-1]
-            if same.any():
-                keys[:, 1:][same] = _NONE
-                keys.sort(axis=1)
+            # Two expanded nodes may share a fresh neighbour: of equal keys one stays, and the other's
+            # place is filled in the next step.
+            keys[:, 1:][keys[:, 1:] == keys[:, :-1]] = _NONE
             beam[active] = keys[:, :ef]
         return beam
 
