@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.dates import month_folder
 from pixelloom.functions.paths import backslashed, file_name, parent
-from pixelloom.session import staging
+from pixelloom.session import Staging, staging
 
 
 def joined(root: Column, name: Column) -> Column:
@@ -41,10 +41,11 @@ def collision_safe(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame
         t = taken.select("dst").distinct()
         p = p.unionByName(t.select(F.lit(None).cast("bigint").alias("file_id"), F.lit(None).cast("string").alias("src"), "dst").withColumn("_family", F.concat_ws("\0", piece(1), piece(2), piece(4))).withColumn("_literal", F.lit(True)))
     mixed = p.groupBy("_family").agg(F.max("_literal").alias("_mixed"), F.count("*").alias("_n"))
-    p = p.join(mixed, "_family")
+    # Three readers follow; the families are worked out once.
+    p = Staging(plan.sparkSession, "names").write(p.join(mixed, "_family"))
     named = r"^((?:.*\\)?.+?)(\.[^.\\]*)?$"  # a leading dot belongs to the stem
     numbered = lambda n: F.when(n == 0, F.col("dst")).otherwise(F.concat(F.regexp_extract("dst", named, 1), F.lit(" ("), n.cast("string"), F.lit(")"), F.regexp_extract("dst", named, 2)))
-    alone = p.filter("not _mixed and _n = 1").select("file_id", "src", "dst")
+    alone = p.filter("_n = 1 and src is not null").select("file_id", "src", "dst")
     ranked = _rank(p.filter("not _mixed and _n > 1").select("file_id", "src", "dst", "_family"))
     simple = ranked.select("file_id", "src", numbered(F.col("_rank")).alias("dst"))
 
@@ -65,7 +66,7 @@ def collision_safe(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame
             out.append(got)
         return own.assign(dst=out)[["file_id", "src", "dst"]]
 
-    walked = p.filter("_mixed").select("file_id", "src", "dst", "_family").groupBy("_family").applyInPandas(walk, "file_id bigint, src string, dst string")
+    walked = p.filter("_mixed and _n > 1").select("file_id", "src", "dst", "_family").groupBy("_family").applyInPandas(walk, "file_id bigint, src string, dst string")
     return alone.unionByName(simple).unionByName(walked)
 
 
