@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import base64
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.operators import catalogue, classify, duplicates, indexing, organize
-from pixelloom.session import staging
+from pixelloom.session import progress, staging
 from pixelloom.sinks import files as sink
 from pixelloom.sinks.store import Store
 from pixelloom.sources import images, scan
@@ -30,8 +31,11 @@ class Service:
         return self.store.read(name)
 
     # ------------------------------------------------------------ scanning
-    def scan_dir(self, folder: str) -> dict[str, int]:
-        """Indexes a folder: scanned, added, skipped, errors."""
+    def scan_dir(self, folder: str, on_progress: Callable[[int, int], None] | None = None) -> dict[str, int]:
+        """Indexes a folder: scanned, added, skipped, errors.  ``on_progress`` hears of the tasks done."""
+        if on_progress is not None:
+            with progress(self.spark, on_progress):
+                return self.scan_dir(folder)
         began = int(time.time())
         skips = [r["path"] for r in self._table("skip_dirs").collect()]
         files = self._table("files")

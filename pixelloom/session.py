@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,32 @@ def staging(spark: SparkSession, purpose: str) -> Iterator[Staging]:
         raise
 
 
+@contextmanager
+def progress(spark: SparkSession, report: Callable[[int, int], None], seconds: float = 1.0) -> Iterator[None]:
+    """Reports (done, total) tasks of the running stages every so often while the block runs, and once
+    at its end.  A report that fails ends the reporting, never the work."""
+    tracker, stop = spark.sparkContext.statusTracker(), threading.Event()
+
+    def tick() -> None:
+        stages = [x for x in map(tracker.getStageInfo, tracker.getActiveStageIds()) if x]
+        report(sum(x.numCompletedTasks for x in stages), sum(x.numTasks for x in stages))
+
+    def watch() -> None:
+        with suppress(Exception):
+            while not stop.wait(seconds):
+                tick()
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        stop.set()
+        thread.join()
+        with suppress(Exception):
+            tick()
+
+
 def fan_out(spark: SparkSession, units: float, per_task: float) -> int:
     """Partitions for a stage of ``units`` rows (or bytes) in which a task takes about ``per_task``;
     at least two waves of tasks, so that a slow one is evened out."""

@@ -321,7 +321,8 @@ def test_index_resume_and_sources(spark, album, tmp_path):
 
 def test_moves_are_carried_out_and_undone(spark, album, tmp_path):
     service = Service(Store(spark, str(tmp_path / "db")))
-    assert service.scan_dir(str(album))["added"] == 4
+    heard = []
+    assert service.scan_dir(str(album), lambda done, total: heard.append((done, total)))["added"] == 4 and heard
     before = {r["path"] for r in service._table("files").collect()}
     target = tmp_path / "sorted"
     plan = service.organize_plan(str(target))
