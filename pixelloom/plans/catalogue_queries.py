@@ -260,12 +260,30 @@ def _pred8(hashes):
     return hashes.filter("dhash is not null").groupBy("dhash").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+_DISTANCES = "SELECT i.batch_no, i.file_id, i.dhash, bit_count(xor(i.dhash, h.dhash))::INTEGER AS distance FROM (SELECT DISTINCT batch_no, file_id, blake3, dhash FROM incoming_hashes) i JOIN (SELECT blake3, min(dhash) AS dhash FROM hashes GROUP BY blake3) h USING (blake3)"
+
+
+@query("pred9_near_enough", "incoming_hashes", "hashes", sql=f"SELECT batch_no, file_id FROM ({_DISTANCES}) WHERE distance <= 5")
+def _pred9(incoming, hashes):
+    return _f9(incoming, hashes).filter("distance <= 5").select("batch_no", "file_id")
+
+
 @query("pred10_in_place", "files", sql=rf"SELECT id AS file_id FROM files WHERE {_back('path')} = '{TARGET}\' || CASE WHEN length(resolved_date) >= 7 AND resolved_date[5] = '-' THEN resolved_date[1:4] || '\' || resolved_date[6:7] ELSE 'undated' END || '\' || {_NAME}")
 def _pred10(files):
     to = F.concat(F.lit(TARGET + "\\"), dates.month_folder(c("resolved_date")), F.lit("\\"), paths.file_name(c("path")))
     return files.filter(paths.backslashed(c("path")) == to).select(c("id").alias("file_id"))
 
 
+@query("pred11_known_labels", "files", sql="SELECT id, coalesce(classification IN ('photo', 'non_photo'), false) AS known FROM files")
+def _pred11(files):
+    return files.select("id", F.coalesce(c("classification").isin(classify.PHOTO, classify.NON_PHOTO), F.lit(False)).alias("known"))
+
+
+@query("pred12_like", "files", sql=r"SELECT id FROM files WHERE path LIKE '%!_copy.%' ESCAPE '!'")
+def _pred12(files):
+    return files.filter("path like '%!_copy.%' escape '!'").select("id")
+
+
 # ---------------------------------------------------------------- joins
 @query("j1_hashes_with_files", "hashes", "files", sql="SELECT h.file_id, f.path, f.size, h.dhash FROM hashes h JOIN files f ON f.id = h.file_id WHERE h.dhash IS NOT NULL")
 def _j1(hashes, files):
@@ -308,6 +326,12 @@ def _j5(files, log):
     return catalogue.changed_since(files.select("path", "size", "mtime"), state).select("path")
 
 
+@query("j6_ids_of_paths", "undo_log", "files", "hashes", sql="SELECT u.id, h.file_id, h.dhash FROM undo_log u JOIN files f ON f.path = u.src_path JOIN hashes h ON h.file_id = f.id")
+def _j6(log, files, hashes):
+    ids = files.select(c("path").alias("src_path"), c("id").alias("file_id"))
+    return log.select("id", "src_path").join(ids, "src_path").join(hashes.select("file_id", "dhash"), "file_id").select("id", "file_id", "dhash")
+
+
 # ---------------------------------------------------------------- aggregates
 _EXACT = """m AS (SELECT g.group_id, f.id AS file_id, f.path, coalesce(f.size, 0) AS size, f.size AS raw FROM hashes h
   JOIN (SELECT blake3, min(file_id) AS group_id FROM hashes WHERE blake3 IS NOT NULL GROUP BY blake3 HAVING count(*) > 1) g USING (blake3) JOIN files f ON f.id = h.file_id)"""
@@ -376,6 +400,12 @@ def _a11(log):
     return organize.outcome_counts(log.select(F.when(c("dst_path").isNull(), "no target").alias("error")))
 
 
+@query("a12_table_counts", "files", "hashes", "undo_log", sql="SELECT 'files' AS name, count(*) AS n FROM files UNION ALL SELECT 'hashes', count(*) FROM hashes UNION ALL SELECT 'undo_log', count(*) FROM undo_log")
+def _a12(files, hashes, log):
+    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    return one(files, "files").unionByName(one(hashes, "hashes")).unionByName(one(log, "undo_log"))
+
+
 @query("w1_preselected", "files", "hashes", sql=f"WITH RECURSIVE {_NEAR}, {_NEAR_M} SELECT group_id, file_id FROM m QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY size DESC, file_id) > 1")
 def _w1(files, hashes):
     m = duplicates.ranked_members(duplicates.with_catalogue(duplicates.near_groups(hashes, 5), files))
@@ -450,13 +480,25 @@ def _f5(files):
     return files.select(c("id").alias("file_id"), dates.month_folder(c("resolved_date")).alias("folder"))
 
 
+@query("f6_ascii_lower", "files", sql=f"SELECT id AS file_id, {_lower('exif_make')} AS make, {_lower('exif_model')} AS model FROM files")
+def _f6(files):
+    return files.select(c("id").alias("file_id"), paths.ascii_lower(c("exif_make")).alias("make"), paths.ascii_lower(c("exif_model")).alias("model"))
+
+
+@query("f8_roots_of_files", "files", "scan_roots", sql=rf"SELECT f.id AS file_id, r.id AS root_id FROM files f JOIN scan_roots r ON {_lower(_back('f.path'))} = rtrim({_lower(_back('r.path'))}, '\') OR starts_with({_lower(_back('f.path'))}, rtrim({_lower(_back('r.path'))}, '\') || '\')")
+def _f8(files, roots):
+    # A root is one of the path's own ancestors: an equi-join in place of a prefix comparison with all.
+    r = roots.select(c("id").alias("root_id"), paths.folded(c("path")).alias("_a"))
+    return files.select(c("id").alias("file_id"), F.explode(paths.ancestors(c("path"))).alias("_a")).join(r, "_a").select("file_id", "root_id")
+
+
 @query("f7_path_parts", "files", sql=rf"SELECT id AS file_id, {_NAME} AS name, {_STEM} AS stem, {_EXT} AS extension, regexp_extract({_back('path')}, '^(.*)\\[^\\]*$', 1) AS parent, CAST(len({_PARTS}) AS INTEGER) AS depth, {_lower('path')} AS lowered FROM files")
 def _f7(files):
     p = c("path")
     return files.select(c("id").alias("file_id"), paths.file_name(p).alias("name"), paths.stem(p).alias("stem"), paths.extension(p).alias("extension"), paths.parent(p).alias("parent"), F.size(paths.components(p)).alias("depth"), paths.ascii_lower(p).alias("lowered"))
 
 
-@query("f9_hamming", "incoming_hashes", "hashes", sql="SELECT i.batch_no, i.file_id, i.dhash, bit_count(xor(i.dhash, h.dhash))::INTEGER AS distance FROM (SELECT DISTINCT batch_no, file_id, blake3, dhash FROM incoming_hashes) i JOIN (SELECT blake3, min(dhash) AS dhash FROM hashes GROUP BY blake3) h USING (blake3)")
+@query("f9_hamming", "incoming_hashes", "hashes", sql=_DISTANCES)
 def _f9(incoming, hashes):
     one = hashes.groupBy("blake3").agg(F.min("dhash").alias("_d"))
     i = incoming.select("batch_no", "file_id", "blake3", "dhash").distinct()
@@ -476,6 +518,11 @@ def _f10(documents):
     return grids.select("doc_id", values.fold_gradient(c("grid")).alias("dhash"))
 
 
+@query("f12_base64", "hashes", sql="SELECT file_id, to_base64(blake3) AS text FROM hashes")
+def _f12(hashes):
+    return hashes.select("file_id", F.regexp_replace(F.base64("blake3"), "[\r\n]", "").alias("text"))
+
+
 @query("f13_hex", "hashes", sql="SELECT file_id, lower(hex(blake3)) AS digest FROM hashes")
 def _f13(hashes):
     return hashes.select("file_id", F.lower(F.hex("blake3")).alias("digest"))
