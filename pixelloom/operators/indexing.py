@@ -14,14 +14,13 @@ from pixelloom.functions.values import geo_pair, parse_int
 from pixelloom.operators.catalogue import changed_since
 from pixelloom.session import staging
 from pixelloom.sources import images
-from pixelloom.sources.exif import FIELDS, read_exif
+from pixelloom.sources.exif import FIELDS, FileBytes, read_exif
 from pixelloom.sources.sidecar import SUFFIXES, read_strict
 
 READ = (
     "path string, size bigint, mtime bigint, width bigint, height bigint, datetime_original string, create_date string, make string, model string, "
     "orientation bigint, gps_lat double, gps_lon double, stamp string, lat double, lon double, blake3 binary, dhash bigint, error string"
 )
-_HEAD = 1 << 20
 
 
 def _sidecar(path: str) -> tuple[str | None, float | None, float | None]:
@@ -42,12 +41,11 @@ def read_one(path: str, size: int | None, mtime: int | None) -> dict[str, object
         return row | {"error": "stat"}
     try:
         with open(path, "rb") as f:
-            head = f.read(_HEAD)
+            whole = FileBytes(f)
+            exif, (w, h) = read_exif(whole), images.dimensions(whole)
     except OSError as e:
         return row | {"error": str(e)}
-    exif = read_exif(head)
     row |= {f: exif[f] for f in FIELDS if f in row}
-    w, h = images.dimensions(head)
     row["width"], row["height"] = (w, h) if w is not None else (exif["pixel_width"], exif["pixel_height"])
     row["stamp"], row["lat"], row["lon"] = _sidecar(path)
     try:

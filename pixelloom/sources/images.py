@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions.values import arrow_udf
+from pixelloom.sources.exif import FileBytes
 
 
-def dimensions(data: bytes | None) -> tuple[int | None, int | None]:
+def dimensions(data: bytes | FileBytes | None) -> tuple[int | None, int | None]:
     """(width, height) from the header of a PNG, GIF, BMP, JPEG or WebP; (None, None) for others."""
     d = data or b""
     try:

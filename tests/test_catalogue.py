@@ -80,6 +80,49 @@ def test_exif_block_in_either_order():
     assert set(exif.read_exif(b"junk").values()) == set(exif.read_exif(None).values()) == set(exif.read_exif(block[:30]).values()) == {None}
 
 
+def heic(block, gap):
+    """A HEIF file whose Exif item lies behind ``gap`` bytes of picture data."""
+    box = lambda kind, d: struct.pack(">I4s", len(d) + 8, kind) + d
+    item = struct.pack(">I", 6) + b"Exif\0\0" + block
+    # An empty item name after the kind gives Exif and two NULs, as cameras write it.
+    infos = [box(b"infe", b"\2\0\0\0" + struct.pack(">HH4s", i, 0, kind) + b"\0") for i, kind in ((1, b"hvc1"), (2, b"Exif"), (3, b"mime"))]
+    start = box(b"ftyp", b"heic\0\0\0\0mif1heic")
+    meta = lambda at: box(b"meta", bytes(4) + box(b"iinf", bytes(4) + struct.pack(">H", 3) + b"".join(infos)) + box(b"iloc", bytes(4) + struct.pack(">HHHHHII", 0x4400, 1, 2, 0, 1, at, len(item))))
+    return start + meta(len(start) + len(meta(0)) + 8 + gap) + box(b"mdat", bytes(gap) + item)
+
+
+def test_files_are_read_to_their_end(tmp_path):
+    gap, block, p = (1 << 20) + 12345, tiff(), photo(1)
+    whole = png(p)[:-12]
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    riff = lambda n, d: n + struct.pack("<I", len(d)) + d + bytes(len(d) % 2)
+    body = b"WEBP" + riff(b"VP8X", bytes(4) + (63).to_bytes(3, "little") * 2) + riff(b"VP8L", bytes(gap)) + riff(b"EXIF", block)
+    padding = (b"\xff\xe2" + struct.pack(">H", 65535) + bytes(65533)) * 17
+    app1 = b"\xff\xe1" + struct.pack(">H", len(block) + 8) + b"Exif\0\0" + block
+    ifd_last = b"II*\0" + struct.pack("<I", gap) + bytes(gap - 8) + struct.pack("<HHHIHHI", 1, 0x0112, 3, 1, 6, 0, 0)
+    for name, data, size in [
+        ("a.png", whole + chunk(b"teXt", bytes(gap)) + chunk(b"eXIf", block) + chunk(b"IEND", b""), (64, 64)),
+        ("a.webp", b"RIFF" + struct.pack("<I", len(body)) + body, (64, 64)),
+        ("a.heic", heic(block, gap), (None, None)), ("b.heic", b"\0\0\0\x10ftypheic\0\0\0\0" + bytes(gap) + b"Exif\0\0" + block, (None, None)),
+        ("a.jpg", b"\xff\xd8" + padding + app1 + b"\xff\xc0" + struct.pack(">HBHHB", 8, 8, 7, 9, 0) + b"\xff\xd9", (9, 7)),
+    ]:
+        (tmp_path / name).write_bytes(data)
+        row = indexing.read_one(str(tmp_path / name), len(data), 1)
+        assert (row["make"], row["orientation"], row["datetime_original"], row["gps_lat"], row["error"]) == ("Canon", 6, "2023:01:15 12:30:00", -37.5, None), name
+        assert (row["width"], row["height"]) == size, name
+        assert exif.read_exif(data)["make"] == "Canon"
+        if name == "a.png":
+            assert row["dhash"] == images.dhash(images.oriented(p.astype(float), 6))
+    (tmp_path / "a.tif").write_bytes(ifd_last)
+    assert indexing.read_one(str(tmp_path / "a.tif"), 1, 1)["orientation"] == 6
+    (tmp_path / "cut.heic").write_bytes(heic(block, gap)[:150])
+    assert indexing.read_one(str(tmp_path / "cut.heic"), 1, 1)["make"] is None
+    # A match that starts in one piece and ends in the next.
+    with (tmp_path / "a.heic").open("rb") as f:
+        some = exif.FileBytes(f)
+        assert [some.find(b"mif1heic", 0, n) for n in (1, 3, 5, 1000)] == [16] * 4 and some.find(b"nowhere") == -1
+
+
 def test_dhash_properties():
     a, b = photo(1), photo(2)
     bits = lambda x, y: int(np.bitwise_count(np.int64(x) ^ np.int64(y))) if (x ^ y) >= 0 else int(np.bitwise_count(np.array([x ^ y]).view(np.uint64))[0])
