@@ -2,6 +2,7 @@ r"""Plans of moves by date, with names that don't collide, and the log that undo
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions.dates import month_folder
 from pixelloom.functions.paths import backslashed, file_name, parent
 from pixelloom.session import Staging, staging
+from pixelloom.sources.scan import names_in
 
 
 def joined(root: Column, name: Column) -> Column:
@@ -32,15 +34,15 @@ def collision_safe(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame
     Only names that differ in such numbers can meet, so rows are grouped by folder, bare stem and
     extension.  Where no name of a group carries a number and none is taken, the n-th claimant
     simply gets number n, found by sorted ranks over all partitions however large the group; only
-    groups with literal numbers are walked in order."""
+    groups with literal numbers or taken names are walked in order."""
     p = plan.select("file_id", "src", "dst")
     parts = r"^(.*\\)?(.+?)((?: \(\d+\))*)(\.[^.\\]*)?$"
     piece = lambda i: F.regexp_extract("dst", parts, i)
     p = p.withColumn("_family", F.concat_ws("\0", piece(1), piece(2), piece(4))).withColumn("_literal", piece(3) != "")
     if taken is not None:
         t = taken.select("dst").distinct()
-        p = p.unionByName(t.select(F.lit(None).cast("bigint").alias("file_id"), F.lit(None).cast("string").alias("src"), "dst").withColumn("_family", F.concat_ws("\0", piece(1), piece(2), piece(4))).withColumn("_literal", F.lit(True)))
-    mixed = p.groupBy("_family").agg(F.max("_literal").alias("_mixed"), F.count("*").alias("_n"))
+        p = p.unionByName(t.select(F.lit(-1).cast("bigint").alias("file_id"), F.lit(None).cast("string").alias("src"), "dst").withColumn("_family", F.concat_ws("\0", piece(1), piece(2), piece(4))).withColumn("_literal", F.lit(True)))
+    mixed = p.groupBy("_family").agg(F.max("_literal").alias("_mixed"), F.count("*").alias("_n"), F.count("src").alias("_own")).filter("_own > 0").drop("_own")
     # Three readers follow; the families are worked out once.
     p = Staging(plan.sparkSession, "names").write(p.join(mixed, "_family"))
     named = r"^((?:.*\\)?.+?)(\.[^.\\]*)?$"  # a leading dot belongs to the stem
@@ -64,7 +66,8 @@ def collision_safe(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame
             claimed.add(got)
             last[name] = n
             out.append(got)
-        return own.assign(dst=out)[["file_id", "src", "dst"]]
+        # As plain objects: a group that came in several pieces has strings in several chunks, which Arrow doesn't take back.
+        return pd.DataFrame({"file_id": own["file_id"].to_numpy(), "src": own["src"].to_numpy(object), "dst": np.array(out, object)})
 
     walked = p.filter("_mixed and _n > 1").select("file_id", "src", "dst", "_family").groupBy("_family").applyInPandas(walk, "file_id bigint, src string, dst string")
     return alone.unionByName(simple).unionByName(walked)
@@ -84,9 +87,17 @@ def _rank(rows: DataFrame) -> DataFrame:
     return cut.withColumn("_own", own).join(shift, ["_family", "_piece"]).withColumn("_rank", F.col("_own") - 1 + F.col("_before")).drop("_own", "_before", "_piece")
 
 
+def taken_names(plan: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """(dst): names that a ``plan`` (dst) into ``root`` can't have: the catalogue's paths below it and
+    what the plan's folders hold on disk, which tasks list."""
+    known = files.select(backslashed(F.col("path")).alias("dst")).filter(F.startswith("dst", joined(F.lit(root), F.lit(""))))
+    return known.unionByName(names_in(plan.select(parent(F.col("dst")).alias("folder"))))
+
+
 def plan_by_date(files: DataFrame, target_root: str) -> DataFrame:
     """(file_id, src, dst): the moves that bring every file to its month's folder."""
-    return collision_safe(candidates(files, target_root))
+    plan = candidates(files, target_root)
+    return collision_safe(plan, taken_names(plan, files, target_root))
 
 
 def plan_into(paths: DataFrame, files: DataFrame, folder: str) -> DataFrame:
@@ -95,7 +106,8 @@ def plan_into(paths: DataFrame, files: DataFrame, folder: str) -> DataFrame:
     known = files.select(F.col("path").alias("_p"), F.col("id").alias("_id"))
     p = paths.select(F.col("path").alias("src")).filter("src is not null").distinct().join(known, F.col("src") == F.col("_p"), "left")
     dst = joined(F.lit(folder), file_name(F.col("src")))
-    return collision_safe(p.filter(file_name(F.col("src")) != "").select(F.coalesce("_id", F.lit(-1).cast("bigint")).alias("file_id"), "src", dst.alias("dst")))
+    plan = p.filter(file_name(F.col("src")) != "").select(F.coalesce("_id", F.lit(-1).cast("bigint")).alias("file_id"), "src", dst.alias("dst"))
+    return collision_safe(plan, taken_names(plan, files, folder))
 
 
 def duplicates_folder(first_path: Column) -> Column:

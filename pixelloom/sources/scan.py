@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.operators.catalogue import IMAGE_EXTENSIONS, SKIPPED_FOLDERS
+from pixelloom.sinks.files import native
 
 LISTED = "path string, size bigint, mtime bigint, is_dir boolean"
 
@@ -67,3 +68,22 @@ def enumerate_images(spark: SparkSession, root: str, user_skips: list[str] | Non
         level = [r["path"] for r in found.filter("is_dir").select("path").collect()]
         out = out.unionByName(found.filter("not is_dir").drop("is_dir"))
     return out
+
+
+def names_in(folders: DataFrame) -> DataFrame:
+    r"""(dst): ``folder\name`` of every entry, whatever it is, of planned folders (folder) that all
+    executors see; one that isn't there or can't be read has none."""
+
+    def entries(folder: str) -> list[str]:
+        try:
+            return [f"{folder}\\{n}" for n in os.listdir(native(folder + "\\"))]
+        except OSError:
+            return []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for folder in b["folder"]:
+                yield pd.DataFrame({"dst": entries(folder)}, dtype=object)
+
+    tasks = 4 * folders.sparkSession.sparkContext.defaultParallelism
+    return folders.filter("folder is not null").distinct().repartition(tasks, "folder").mapInPandas(run, "dst string")

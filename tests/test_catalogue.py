@@ -390,6 +390,37 @@ def test_moves_are_carried_out_and_undone(spark, album, tmp_path):
     assert service.thumbnail(str(album / "b.PNG"), 64).startswith("data:image/png;base64,") and service.thumbnail("nowhere") is None
 
 
+def test_plans_leave_taken_names(spark, tmp_path):
+    rows = [("D:/Sorted/2023/01/a.jpg", "2023-01-02"), ("C:\\x\\a.jpg", "2023-01-09"), ("C:\\x\\b.jpg", "2023-01-09"), ("D:\\Sorted\\2022\\05\\b.jpg", "2023-01-03"), ("D:\\Sorted2\\c.jpg", "2023-01-03"), ("C:\\y\\b.jpg", "2022-05-01")]
+    f = files_frame(spark, [{"id": i, "path": p, "resolved_date": d} for i, (p, d) in enumerate(rows)])
+    at = "D:\\Sorted\\"
+    assert {r["file_id"]: r["dst"] for r in organize.plan_by_date(f, "D:\\Sorted").collect()} == {1: at + "2023\\01\\a (1).jpg", 2: at + "2023\\01\\b.jpg", 3: at + "2023\\01\\b (1).jpg", 4: at + "2023\\01\\c.jpg", 5: at + "2022\\05\\b (1).jpg"}
+    # On disk: a file the catalogue doesn't know, and a folder of a picture's name.
+    (tmp_path / "a.jpg").write_text("")
+    (tmp_path / "b.jpg").mkdir()
+    into = {os.path.basename(r["dst"].replace("\\", "/")) for r in organize.plan_into(spark.createDataFrame([("C:\\x\\a.jpg",), ("C:\\x\\b.jpg",), ("C:\\x\\d.jpg",)], "path string"), f, str(tmp_path)).collect()}
+    assert into == {"a (1).jpg", "b (1).jpg", "d.jpg"}
+
+
+def test_a_second_run_finds_free_names(spark, album, tmp_path):
+    service, target = Service(Store(spark, str(tmp_path / "db"))), tmp_path / "sorted"
+    service.scan_dir(str(album))
+    assert service.organize(str(target)) == {"moved": 4, "errors": 0}
+    month = target / "2023" / "01"
+    (album / "private").rmdir()  # emptied by the run
+    (album / "IMG_20230115_101010.png").write_bytes(png(photo(7)))
+    (album / "IMG_20230116_101010.png").write_bytes(png(photo(8)))
+    (month / "IMG_20230116_101010.png").write_bytes(b"not in the catalogue")
+    assert service.scan_dir(str(album))["added"] == 2
+    assert service.organize(str(target)) == {"moved": 2, "errors": 0}
+    assert (month / "IMG_20230115_101010 (1).png").read_bytes() == png(photo(7)) and (month / "IMG_20230116_101010 (1).png").exists()
+    assert (month / "IMG_20230116_101010.png").read_bytes() == b"not in the catalogue"
+    for n in range(2):
+        (album / "x.png").write_bytes(png(photo(9 + n)))
+        assert service.move_to_duplicates([str(album / "x.png")]) == {"moved": 1, "errors": 0}
+    assert (album / "_Duplicates" / "x (1).png").read_bytes() == png(photo(10))
+
+
 def test_listing_stream(spark, tmp_path):
     store = Store(spark, str(tmp_path / "db"))
     store.write("files", files_frame(spark, [{"id": 1, "path": "a", "size": 1, "mtime": 1}]))
