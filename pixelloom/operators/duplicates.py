@@ -29,6 +29,18 @@ def exact_members(files: DataFrame, hashes: DataFrame, code: str = "blake3") ->
     return members.join(f, "file_id")
 
 
+def code_members(hashes: DataFrame) -> DataFrame:
+    """(file_id, representative, n) of every row with a dhash: the smallest file_id and the number of
+    rows of its code.  Members of one representative are at distance 0, and members of two
+    representatives at the distance of these, so the pairs of representatives within any number of
+    bits and this membership give all pairs of files."""
+    h = hashes.select("file_id", F.col("dhash").alias("code")).filter("code is not null")
+    with staging(hashes.sparkSession, "members") as area:
+        reps = area.write(hamming.representatives(h, "code", "file_id"))
+        total = reps.agg(F.sum("n")).first()[0] or 0
+        return join_hot(h, reps, "code", "n", total).select("file_id", F.col("rep").alias("representative"), "n")
+
+
 def near_groups(hashes: DataFrame, k: int = 5, method: str = "bands") -> DataFrame:
     """(file_id, group_id) of files linked by codes at most ``k`` bits apart, directly or through
     others; files without a partner are left out.  ``method`` names how pairs are found and doesn't

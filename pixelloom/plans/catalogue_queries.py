@@ -315,6 +315,12 @@ def _j7(hashes):
     return _pairs(hashes, 3)
 
 
+@query("j8_near_members", "hashes", sql="SELECT file_id, min(file_id) OVER w AS representative, count(*) OVER w AS n FROM hashes WHERE dhash IS NOT NULL WINDOW w AS (PARTITION BY dhash)")
+def _j8(hashes):
+    """The membership of the representatives of j3 and j7, which is the same for every k."""
+    return duplicates.code_members(hashes)
+
+
 @query("j4_truth_lookup", "files", "undo_log", sql="SELECT DISTINCT u.dst_path AS path, f.classification FROM undo_log u LEFT JOIN files f ON f.path = u.dst_path")
 def _j4(files, log):
     return log.select(c("dst_path").alias("path")).distinct().join(files.select("path", "classification"), "path", "left")

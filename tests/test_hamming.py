@@ -101,3 +101,24 @@ def test_groups_equal_union_find(spark, monkeypatch, limit):
         sizes[root(i)] = sizes.get(root(i), 0) + 1
     want = {(i, root(i)) for i in range(len(c)) if sizes[root(i)] > 1}
     assert {tuple(r) for r in duplicates.near_groups(star_rows(spark, c), 2).select("file_id", "group_id").collect()} == want
+
+
+def test_representative_pairs_and_members_give_all_pairs_of_files(spark, monkeypatch):
+    from pixelloom.plans.catalogue_queries import _j3, _j7, _j8
+
+    few = codes(60).view(np.int64)
+    rows = [(i, int(few[0] if i % 3 == 0 else few[i % len(few)])) for i in range(300)]
+    hashes = spark.createDataFrame([(i, b"x", d) for i, d in rows] + [(999, b"x", None)], "file_id bigint, blake3 binary, dhash bigint")
+    want = {k: brute(np.array([d for _, d in rows], np.int64).view(np.uint64), k) for k in (3, 5)}
+    join_hot = duplicates.join_hot
+    for floor in (20_000, 10):
+        monkeypatch.setattr(duplicates, "join_hot", lambda *a, floor=floor: join_hot(*a, floor=floor))
+        members = {}
+        found = _j8(hashes).collect()
+        for r in found:
+            members.setdefault(r["representative"], []).append(r["file_id"])
+        assert len(found) == 300 and all(r["n"] == len(members[r["representative"]]) for r in found)
+        inside = {(a, b) for m in members.values() for a in m for b in m if a < b}
+        for k, pairs in ((5, _j3), (3, _j7)):
+            across = {(min(x, y), max(x, y)) for r in pairs(hashes).collect() for x in members[r["a"]] for y in members[r["b"]]}
+            assert inside | across == want[k]
