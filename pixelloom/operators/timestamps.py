@@ -145,7 +145,9 @@ def readings(value: Column, zone: Column, windows: Column) -> Column:
         )
         return F.filter(every, lambda x: x["epoch_s"].between(FIRST, LAST - 1))
 
-    return _bind(F.trim(F.regexp_replace(value, BLANK, " ")), read)
+    # The longest notation has about 60 characters; a longer text is none, and isn't searched.  Padding doesn't count.
+    text = F.trim(F.regexp_replace(value, BLANK, " "))
+    return _bind(text, lambda text: _bind(F.when(F.length(text) <= 200, text), read))
 
 
 def root_zones(spark: SparkSession, roots: DataFrame, zones: DataFrame) -> DataFrame:
@@ -225,9 +227,7 @@ def normalise(values: DataFrame, min_posterior: float = 0.9) -> DataFrame:
 def _read(values: DataFrame) -> tuple[DataFrame, dict[tuple[str, tuple[str, ...]], tuple[str, float]]]:
     """Values with their candidates (``_all``), and the fitted choice where there are several."""
     v = values.select("id", "source", "value", "zone", "windows")
-    # The longest notation has about 60 characters; a longer text is none, and isn't searched.
-    short = F.when(F.length("value") <= 200, F.col("value"))
-    read = v.select("id", "source", "value", readings(short, F.col("zone"), F.col("windows")).alias("_all"))
+    read = v.select("id", "source", "value", readings(F.col("value"), F.col("zone"), F.col("windows")).alias("_all"))
     # Readings that agree are one candidate, but no evidence for the first of their notations.
     one = F.when(F.size(F.array_distinct(F.col("_all.epoch_s"))) == 1, F.slice("_all", 1, 1)).otherwise(F.coalesce("_all", F.array()))
     # No filter on the candidates here: Spark would push it below and parse every value twice.

@@ -71,6 +71,13 @@ def test_known_values(spark):
     assert [(v, z, got[i]) for i, (v, z, _) in enumerate(CASES)] == CASES
 
 
+@pytest.mark.parametrize("pad", [" " * 300, "\0" * 300, "\t \u3000\0" * 100])
+def test_padding_counts_for_nothing(spark, pad):
+    for value in (pad + "2015-10-03 02:47:08", "2015-10-03 02:47:08" + pad, "2015-10-03" + pad + "02:47:08"):
+        assert instant(spark, value, "Etc/UTC") == utc(2015, 10, 3, 2, 47, 8)
+    assert instant(spark, "2015-10-03 02:47:08" + pad + "x" * 300, "Etc/UTC") is None
+
+
 @pytest.mark.parametrize(("value", "want"), [("1443840428123456", 1443840428), ("1443840428123456789", 1443840428), (str((1443840428 + 11644473600) * 10**7 + 3), 1443840428), ("-1", None), ("0", None), ("4102445000", None)])
 def test_counts(spark, value, want):
     assert instant(spark, value, windows=True) == want
