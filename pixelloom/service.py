@@ -6,7 +6,10 @@ Queries return DataFrames; changes write new versions of tables and return their
 from __future__ import annotations
 
 import base64
+import os
+import struct
 import time
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -73,9 +76,16 @@ class Service:
         """A file's thumbnail as a data URL; None if it can't be decoded."""
         try:
             with open(path, "rb") as f:
-                small = images.thumbnail(f.read(), edge)
-        except (OSError, ValueError):
+                data = f.read()
+        except OSError:
             return None
+        try:
+            small = images.thumbnail(data, edge)
+        except (ValueError, struct.error, zlib.error):
+            decoded = images.decoded_thumbnails(self.spark, os.path.abspath(path), edge).first()
+            if decoded is None:
+                return None
+            small = decoded["thumbnail"]
         return "data:image/png;base64," + base64.b64encode(small).decode()
 
     # ------------------------------------------------------------ moving

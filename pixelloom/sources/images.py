@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -64,13 +65,17 @@ def decode_png(data: bytes) -> np.ndarray:
     return grey(px) if px.shape[2] >= 3 else px[:, :, 0].astype(np.float64)
 
 
+#: First column and row, and steps, of the passes of an interlaced PNG.
+ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
 def png_pixels(data: bytes) -> np.ndarray:
-    """Channels (height, width, n) of a PNG of 8 bits a channel, not interlaced; ValueError for others."""
+    """8-bit channels (height, width, n) of a PNG of any depth; ValueError for others."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
     w, h, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", data[16:29])
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
-    if depth != 8 or interlaced or channels is None:
+    if depth not in (1, 2, 4, 8, 16) or channels is None or interlaced > 1:
         raise ValueError("this PNG is not supported")
     at, body, palette = 8, b"", None
     while at + 8 <= len(data):
@@ -80,17 +85,41 @@ def png_pixels(data: bytes) -> np.ndarray:
         elif name == b"PLTE":
             palette = np.frombuffer(data[at + 8 : at + 8 + size], np.uint8).reshape(-1, 3)
         at += 12 + size
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * channels)
-    out = np.zeros((h, w * channels), np.uint8)
-    above = np.zeros(w * channels, np.int64)
-    for y in range(h):
+    raw, at = np.frombuffer(zlib.decompress(body), np.uint8), 0
+    px = np.zeros((h, w, channels), np.uint8)
+    for x, y, dx, dy in ADAM7 if interlaced else ((0, 0, 1, 1),):
+        part = px[y::dy, x::dx]
+        if not part.size:
+            continue
+        ph, pw = part.shape[:2]
+        line = -(-pw * channels * depth // 8)
+        rows = _unfiltered(raw[at : at + ph * (1 + line)].reshape(ph, 1 + line), max(1, channels * depth // 8))
+        at += ph * (1 + line)
+        if depth == 16:
+            rows = ((rows.reshape(ph, -1, 2) @ np.array([256, 1]) + 128) // 257).astype(np.uint8)
+        elif depth < 8:
+            bits = np.unpackbits(rows, axis=1)[:, : pw * channels * depth].reshape(ph, -1, depth)
+            rows = (bits @ (1 << np.arange(depth)[::-1]) * (1 if kind == 3 else 255 // (2**depth - 1))).astype(np.uint8)
+        part[:] = rows.reshape(ph, pw, channels)
+    if kind != 3:
+        return px
+    if palette is None or px.max(initial=0) >= len(palette):
+        raise ValueError("a PNG without its palette")
+    return palette[px[:, :, 0]]
+
+
+def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
+    """Rows of a PNG without the filter that their first byte names; ``step`` is the bytes of a pixel."""
+    out = np.zeros((raw.shape[0], raw.shape[1] - 1), np.uint8)
+    above = np.zeros(out.shape[1], np.int64)
+    for y in range(len(raw)):
         line, how = raw[y, 1:].astype(np.int64), raw[y, 0]
         if how == 2:
             line = (line + above) & 255
         elif how in (1, 3, 4):
             for x in range(len(line)):
-                a = line[x - channels] if x >= channels else 0
-                b, c = above[x], above[x - channels] if x >= channels else 0
+                a = line[x - step] if x >= step else 0
+                b, c = above[x], above[x - step] if x >= step else 0
                 if how == 1:
                     near = a
                 elif how == 3:
@@ -100,8 +129,7 @@ def png_pixels(data: bytes) -> np.ndarray:
                     near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
                 line[x] = (line[x] + near) & 255
         out[y], above = line, line
-    px = out.reshape(h, w, channels)
-    return palette[px[:, :, 0]] if kind == 3 else px
+    return out
 
 
 def encode_png(pixels: np.ndarray) -> bytes:
@@ -114,9 +142,14 @@ def encode_png(pixels: np.ndarray) -> bytes:
 
 
 def thumbnail(data: bytes, edge: int) -> bytes:
-    """A PNG of an image's PNG whose longer side is at most ``edge`` (from 64 to 1024), in proportion;
-    a smaller image keeps its size.  ValueError for what can't be decoded."""
-    px, edge = png_pixels(data).astype(np.float64), max(64, min(1024, edge))
+    """The thumbnail (see :func:`shrunk`) of a PNG's bytes.  ValueError for others."""
+    return shrunk(png_pixels(data), edge)
+
+
+def shrunk(pixels: np.ndarray, edge: int) -> bytes:
+    """A PNG of channels (height, width, n) whose longer side is at most ``edge`` (from 64 to 1024), in
+    proportion; a smaller image keeps its size."""
+    px, edge = pixels.astype(np.float64), max(64, min(1024, edge))
     h, w = px.shape[:2]
     scale = min(1.0, edge / max(h, w))
     th, tw = max(1, round(h * scale)), max(1, round(w * scale))
@@ -125,7 +158,7 @@ def thumbnail(data: bytes, edge: int) -> bytes:
 
 
 def image_thumbnail(data: Column, edge: int = 256) -> Column:
-    """Thumbnails of a binary column; NULL for what can't be decoded."""
+    """Thumbnails of a binary column of PNGs; NULL for others, whose files :func:`decoded_thumbnails` reads."""
 
     def one(d: bytes | None) -> bytes | None:
         try:
@@ -161,6 +194,20 @@ def decoded_hashes(spark: SparkSession, folder: str, orientation: DataFrame | No
     return turned.select("path", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"), hashed.alias("dhash"))
 
 
+def decoded_thumbnails(spark: SparkSession, place: str, edge: int = 256) -> DataFrame:
+    """(path, thumbnail) of an image file, or of all images below a folder, that Spark's image source
+    decodes; see :func:`decoded_hashes`."""
+    escaped = re.sub(r"([\\\[\]{}*?])", r"\\\1", place)  # a name is no pattern
+    df = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(escaped)
+    df = df.select(_plain_path(F.col("image.origin")).alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
+
+    def run(h: pd.Series, w: pd.Series, n: pd.Series, data: pd.Series) -> pd.Series:
+        order = {1: [0], 3: [2, 1, 0], 4: [2, 1, 0, 3]}
+        return pd.Series([shrunk(np.frombuffer(d, np.uint8).reshape(height, width, channels)[:, :, order[channels]], edge) for height, width, channels, d in zip(h, w, n, data)], dtype=object)
+
+    return df.select("path", arrow_udf(run, "binary")("height", "width", "nChannels", "data").alias("thumbnail"))
+
+
 def grey(rgb: np.ndarray) -> np.ndarray:
     """Luma of the first three channels."""
     return rgb[:, :, :3].astype(np.float64) @ np.array([0.2126, 0.7152, 0.0722])

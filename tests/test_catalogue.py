@@ -1,3 +1,4 @@
+import base64
 import json
 import os
 import struct
@@ -329,6 +330,29 @@ def test_thumbnails():
         images.thumbnail(b"x", 64)
 
 
+def test_thumbnails_of_every_depth_and_kind(spark, tmp_path):
+    p, chunk = photo(1, 20), lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    made = lambda depth, kind, woven, rows, extra=b"": b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 20, 20, depth, kind, 0, 0, woven)) + extra + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + chunk(b"IEND", b"")
+    assert (images.png_pixels(made(16, 0, 0, [(r.astype(">u2") * 257).tobytes() for r in p]))[:, :, 0] == p).all()
+    bit = p > 128
+    assert (images.png_pixels(made(1, 0, 0, [np.packbits(r).tobytes() for r in bit]))[:, :, 0] == bit * 255).all()
+    assert (images.png_pixels(made(1, 3, 0, [np.packbits(r).tobytes() for r in bit], chunk(b"PLTE", bytes([9, 8, 7, 1, 2, 3])))) == np.where(bit[:, :, None], [1, 2, 3], [9, 8, 7])).all()
+    passes = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+    assert (images.png_pixels(made(8, 0, 1, [r.tobytes() for x, y, dx, dy in passes for r in p[y::dy, x::dx]]))[:, :, 0] == p).all()
+    jvm, service, wide = spark._jvm, Service(Store(spark, str(tmp_path / "db"))), photo(4)[:32]
+    img = jvm.java.awt.image.BufferedImage(64, 32, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    for y in range(32):
+        for x in range(64):
+            img.setRGB(x, y, int(wide[y, x]) << 16)
+    for kind in ("jpg", "bmp", "gif"):
+        path = tmp_path / f"a [1]% {kind}.{kind}"
+        jvm.javax.imageio.ImageIO.write(img, kind, jvm.java.io.File(str(path)))
+        got = images.png_pixels(base64.b64decode(service.thumbnail(str(path), 64).partition(",")[2]))
+        assert got.shape == (32, 64, 3) and np.abs(got[:, :, 0].astype(int) - wide).mean() < 12 and got[:, :, 2].mean() < 12, kind
+    (tmp_path / "bad.jpg").write_bytes(b"no picture")
+    assert service.thumbnail(str(tmp_path / "bad.jpg")) is None
+
+
 def test_jpegs_are_hashed_by_the_image_source(spark, tmp_path):
     jvm, p = spark._jvm, photo(4)
     img = jvm.java.awt.image.BufferedImage(64, 64, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
