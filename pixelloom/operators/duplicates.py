@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pixelloom.functions.ranks import ranked
 from pixelloom.functions.skew import join_hot
 from pixelloom.operators import hamming
+from pixelloom.operators.graphs import min_labels
 from pixelloom.session import Staging, staging
 
-#: Edges up to which a graph is labelled by one task: some 16 MB.
-ONE_TASK_EDGES = 1_000_000
-
-
 def exact_members(files: DataFrame, hashes: DataFrame, code: str = "blake3") -> DataFrame:
     """(group_id, file_id, path, size, width, height) of files that share a content hash with another;
     group_id is the group's smallest file_id.  NULL hashes and hashes of unknown files are left out.
@@ -57,55 +50,6 @@ def near_groups(hashes: DataFrame, k: int = 5, method: str = "bands") -> DataFra
         return join_hot(h, grouped, "code", "n", total).select("file_id", "group_id")
 
 
-def min_labels(area: Staging, edges: DataFrame) -> DataFrame:
-    """(node, label): every node of the edges (a, b) with the smallest node of its component, by
-    alternating star contractions: neighbours above a node are linked to the smallest around it, then
-    the smaller ones likewise, until only stars are left.  Each round is written out.  What has at
-    most ``ONE_TASK_EDGES`` edges, counted first, is finished in one task instead."""
-    e = area.write(edges.select("a", "b").filter("a <> b").distinct())
-    while True:
-        if e.count() <= ONE_TASK_EDGES:
-            return e.coalesce(1).mapInArrow(_labels_of_few, "node bigint, label bigint")
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
-        large = area.write(large)
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b")
-        new = area.write(small.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct())
-        moved = new.join(e, ["a", "b"], "left_anti").limit(1).count() + e.join(new, ["a", "b"], "left_anti").limit(1).count()
-        area.drop(e, large)
-        e = new
-        if not moved:
-            break
-    stars = e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
-    return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
-
-
-def _labels_of_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Smallest labels of a small graph, by minimum over edges and pointer jumping on arrays."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    a, b = (np.concatenate(x) for x in zip(*parts))
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        # A root takes the smallest label that any node below it sees.
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "label"])
-
-
 def with_catalogue(groups: DataFrame, files: DataFrame) -> DataFrame:
     """Members of ``groups`` (file_id, group_id) with their catalogue columns; unknown files left out."""
     f = files.select(F.col("id").alias("file_id"), "path", "size", "width", "height")
@@ -115,8 +59,8 @@ def with_catalogue(groups: DataFrame, files: DataFrame) -> DataFrame:
 def ranked_members(members: DataFrame) -> DataFrame:
     """Members with their rank in the group: largest first, then by file_id; rank 1 is the keeper and
     the others are preselected."""
-    rank = F.row_number().over(W.partitionBy("group_id").orderBy(F.desc_nulls_last("size"), "file_id"))
-    return members.select("group_id", "file_id", "path", "size", rank.alias("rank"), (rank > 1).alias("preselected"))
+    m = ranked(members.select("group_id", "file_id", "path", "size"), "group_id", [F.desc_nulls_last("size"), F.col("file_id")])
+    return m.select("group_id", "file_id", "path", "size", F.col("rank").cast("int").alias("rank"), (F.col("rank") > 1).alias("preselected"))
 
 
 def report(members: DataFrame, threshold: int) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.operators.graphs import contracted, join_labels
 from pixelloom.session import fan_out
 
 BITS = 64
@@ -26,7 +27,7 @@ BITS = 64
 ROW_COST, PAIR_COST = 1.0, 0.003
 #: Codes in a cell above which it is keyed again by Spark, and above which a task cuts it locally.
 HOT_CELL, LARGE_CELL = 200_000, 8_192
-BLOCK = 1_024
+BLOCK = 512
 
 
 def representatives(rows: DataFrame, code: str, ident: str) -> DataFrame:
@@ -73,13 +74,12 @@ def cells(codes: DataFrame, k: int, n: int, hot: int = HOT_CELL) -> DataFrame:
     out = keyed(codes, k, scheme(n, k))
     if n <= hot:
         return out
+    # At most (keys a code) * n / hot cells can be hot; none, with evenly spread codes.  Kept for the
+    # two readers below, which run when the caller's query does.
     big = out.groupBy("cell").count().filter(F.col("count") > hot).select("cell").persist()
-    try:
-        # At most (keys a code) * n / hot cells can be hot; none, with evenly spread codes.
-        if big.isEmpty():
-            return out
-    finally:
+    if big.isEmpty():
         big.unpersist()
+        return out
     calm = out.join(big, "cell", "left_anti")
     split = keyed(out.join(big, "cell", "left_semi").withColumnRenamed("cell", "_outer"), k, 3, within="_outer").drop("_outer")
     return calm.unionByName(split)
@@ -93,104 +93,117 @@ def near_in_block(a: np.ndarray, b: np.ndarray, k: int, same: bool) -> tuple[np.
     return np.nonzero(near)
 
 
-def near_in_cell(code: np.ndarray, k: int, probe: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs i < j of one cell at most k bits apart; with ``probe``, only those of which at
-    least one is marked.  Cells over LARGE_CELL are cut along the bits that vary in them."""
-    if len(code) > LARGE_CELL:
-        return _near_in_large(code, k, probe)
-    left, right = [], []
-    for s in range(0, len(code), BLOCK):
-        for t in range(s, len(code), BLOCK):
-            if probe is not None and not (probe[s : s + BLOCK].any() or probe[t : t + BLOCK].any()):
-                continue
-            i, j = near_in_block(code[s : s + BLOCK], code[t : t + BLOCK], k, s == t)
-            if len(i):
-                left.append(i + s)
-                right.append(j + t)
-    i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-    if probe is not None and len(i):
-        keep = probe[i] | probe[j]
-        i, j = i[keep], j[keep]
-    return i, j
-
-
-def _near_in_large(code: np.ndarray, k: int, probe: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    varying = [b for b in range(BITS) if 0 < int(((code >> np.uint64(b)) & np.uint64(1)).sum()) < len(code)]
-    r = 3
+def _varying(code: np.ndarray) -> list[int]:
+    """The bits in which codes differ."""
+    differ = int(np.bitwise_or.reduce(code) & ~np.bitwise_and.reduce(code))
+    return [b for b in range(BITS) if differ >> b & 1]
+
+
+def _mask(bits: list[int]) -> np.uint64:
+    return np.uint64(sum(1 << b for b in bits))
+
+
+def cuts(code: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Index arrays of which at least one holds both codes of every near pair of a cell.  A cell over
+    LARGE_CELL is cut along the bits that vary in it; any other is one array."""
+    varying = _varying(code) if len(code) > LARGE_CELL else []
+    r = 3 if len(varying) >= k + 3 else 1
+    if len(varying) < k + r:  # with so few varying bits nearly every pair is near
+        yield np.arange(len(code))
+        return
     m = k + r
-    if len(varying) < m:
-        r, m = 1, min(k + 1, len(varying))
-    parts = [varying[len(varying) * i // m : len(varying) * (i + 1) // m] for i in range(m)]
-    masks = [np.uint64(sum(1 << b for b in p)) for p in parts]
-    if m <= k:  # fewer varying bits than that: every pair is near, or nearly so
-        masks, r = [np.uint64(0)], 1
-    found = []
-    for choice in combinations(range(len(masks)), r):
-        mask = np.uint64(0)
-        for b in choice:
-            mask |= masks[b]
-        key = code & mask
+    masks = [_mask(varying[len(varying) * i // m : len(varying) * (i + 1) // m]) for i in range(m)]
+    for choice in combinations(masks, r):
+        key = code & np.bitwise_or.reduce(np.array(choice))
         order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0, True])
-        for s, e in zip(starts[:-1], starts[1:]):
+        ends = np.flatnonzero(np.r_[np.diff(key[order]) != 0, True]) + 1
+        for s, e in zip(np.r_[0, ends[:-1]], ends):
             if e - s > 1:
-                idx = order[s:e]
-                for x in range(0, len(idx), BLOCK):
-                    for y in range(x, len(idx), BLOCK):
-                        u, v = idx[x : x + BLOCK], idx[y : y + BLOCK]
-                        if probe is not None and not (probe[u].any() or probe[v].any()):
-                            continue
-                        i, j = near_in_block(code[u], code[v], k, x == y)
-                        if len(i):
-                            lo, hi = np.minimum(u[i], v[j]), np.maximum(u[i], v[j])
-                            found.append(np.unique(lo.astype(np.int64) * len(code) + hi))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    pairs = np.unique(np.concatenate(found))
-    i, j = pairs // len(code), pairs % len(code)
-    if probe is not None:
-        keep = probe[i] | probe[j]
-        i, j = i[keep], j[keep]
-    return i, j
-
-
-#: What a task does with the near pairs of a cell: gets the ids and codes of the cell, the index pairs
-#: and, where codes are marked, the marks; returns columns of the result.
-Emit = Callable[..., tuple[np.ndarray, ...]]
-
-
-def emit_pairs(ident: np.ndarray, code: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(a, b, distance), a < b."""
-    a, b = ident[i], ident[j]
-    return np.minimum(a, b), np.maximum(a, b), np.bitwise_count(code[i] ^ code[j]).astype(np.int32)
-
-
-def emit_forest(ident: np.ndarray, code: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(a, b): every id that has near ones with the smallest id of its component in this cell.  It
-    links what the pairs link, with fewer rows than ids however dense the cell is."""
-    label = ident.copy()
-    used = np.unique(np.concatenate([i, j]))
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        if (new == label).all():
-            break
-        label = new
-    used = used[label[used] != ident[used]]
-    return label[used], ident[used]
-
-
-def over_cells(keyed_codes: DataFrame, k: int, schema: str, emit: Emit, tasks: int) -> DataFrame:
-    """Runs ``emit`` on the near pairs of every cell.  Input: id bigint, code bigint, cell bigint and,
-    if only pairs with a marked code are wanted, probe boolean.
+                yield order[s:e]
+
+
+#: What a task does with a cell: gets ids, codes and k (and marks, where codes are marked), and yields
+#: columns of the result, a bounded tile at a time.
+Work = Callable[..., Iterator[tuple[np.ndarray, ...]]]
+
+
+def pairs_in_cell(ident: np.ndarray, code: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, distance), a < b, of the near pairs, block by block; cuts may repeat a pair."""
+    for own in cuts(code, k):
+        for s in range(0, len(own), BLOCK):
+            for t in range(s, len(own), BLOCK):
+                u, v = own[s : s + BLOCK], own[t : t + BLOCK]
+                i, j = near_in_block(code[u], code[v], k, s == t)
+                if len(i):
+                    a, b = u[i], v[j]
+                    yield np.minimum(ident[a], ident[b]), np.maximum(ident[a], ident[b]), np.bitwise_count(code[a] ^ code[b]).astype(np.int32)
+
+
+def forest_in_cell(ident: np.ndarray, code: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b), a < b: every id that has near ones, with the smallest id of its component in this cell.
+
+    Components grow tile by tile, and no pair outlives its tile.  Codes that differ only within some k
+    bits are near, and sorting finds them, which links most of a dense cell; tiles of which all codes
+    are linked already can't add anything and are left out."""
+    n = len(code)
+    label = np.arange(n)
+    if n > 8 * BLOCK and k:
+        bits = _varying(code)
+        for s in range(0, len(bits), max(1, k // 2)):
+            key = code & ~_mask(bits[s : s + k])
+            order = np.argsort(key, kind="stable")
+            same = key[order][1:] == key[order][:-1]
+            join_labels(label, order[:-1][same], order[1:][same])
+    for own in cuts(code, k):
+        if n > BLOCK:
+            own = own[np.argsort(label[own], kind="stable")]
+        for s in range(0, len(own), BLOCK):
+            u = own[s : s + BLOCK]
+            for t in range(s, len(own), BLOCK):
+                v = own[t : t + BLOCK]
+                if n > BLOCK:
+                    first = label[u[0]]
+                    if (label[u] == first).all() and (label[v] == first).all():
+                        continue
+                i, j = near_in_block(code[u], code[v], k, s == t)
+                if len(i):
+                    join_labels(label, u[i], v[j])
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ident)
+    root = least[label]
+    leaf = root != ident
+    if leaf.any():
+        yield root[leaf], ident[leaf]
+
+
+def known_in_cell(ident: np.ndarray, code: np.ndarray, k: int, probe: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(id) of the marked codes that have an unmarked one at most k bits away in this cell."""
+    hit = np.zeros(len(code), bool)
+    if not probe.all():
+        for own in cuts(code, k):
+            asked, stored = own[probe[own]], own[~probe[own]]
+            for s in range(0, len(asked), BLOCK):
+                for t in range(0, len(stored), BLOCK):
+                    u = asked[s : s + BLOCK]
+                    u = u[~hit[u]]
+                    if not len(u):
+                        break
+                    near = np.bitwise_count(code[u][:, None] ^ code[stored[t : t + BLOCK]][None, :]) <= k
+                    hit[u[near.any(axis=1)]] = True
+    if hit.any():
+        yield (ident[hit],)
+
+
+def over_cells(keyed_codes: DataFrame, k: int, schema: str, work: Work, tasks: int) -> DataFrame:
+    """Runs ``work`` on every cell.  Input: id bigint, code bigint, cell bigint and, if codes are marked,
+    probe boolean; cells without a marked code are then left out.
 
     A task sorts its cells as arrays, so nothing is sorted in the JVM and no group is an object.  The
     partitions are numbered explicitly: the work grows with pairs, not bytes, and must not be
     coalesced by size."""
     marked = "probe" in keyed_codes.columns
     columns = ["id", "code", "cell"] + (["probe"] if marked else [])
+    names = [f.strip().split()[0] for f in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in range(len(columns))] for b in batches if b.num_rows]
@@ -203,22 +216,20 @@ def over_cells(keyed_codes: DataFrame, k: int, schema: str, emit: Emit, tasks: i
         code = cols[1][order].view(np.uint64)
         probe = cols[3][order].astype(bool) if marked else None
         starts = np.flatnonzero(np.r_[True, np.diff(cell) != 0, True])
-        waiting, size = [], 0
+        waiting: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for s, e in zip(starts[:-1], starts[1:]):
             if e - s < 2 or (marked and not probe[s:e].any()):
                 continue
-            i, j = near_in_cell(code[s:e], k, None if probe is None else probe[s:e])
-            if len(i):
-                got = emit(ident[s:e], code[s:e], i, j, probe[s:e]) if marked else emit(ident[s:e], code[s:e], i, j)
+            for got in work(ident[s:e], code[s:e], k, probe[s:e]) if marked else work(ident[s:e], code[s:e], k):
                 waiting.append(got)
                 size += len(got[0])
-            if size > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*waiting)], names=names)
-                waiting, size = [], 0
+                if size > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*waiting)], names=names)
+                    waiting, size = [], 0
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*waiting)], names=names)
 
-    names = [f.strip().split()[0] for f in schema.split(",")]
     return keyed_codes.select(*columns).repartition(tasks, "cell").mapInArrow(run, schema)
 
 
@@ -234,14 +245,13 @@ def near_pairs(codes: DataFrame, k: int) -> DataFrame:
     n = c.count()
     if k >= BITS // 2:
         raise ValueError("k must be below 32")
-    found = over_cells(cells(c, k, n), k, "a bigint, b bigint, distance int", emit_pairs, tasks_for(codes.sparkSession, n, k))
+    found = over_cells(cells(c, k, n), k, "a bigint, b bigint, distance int", pairs_in_cell, tasks_for(codes.sparkSession, n, k))
     return found.distinct()
 
 
 def near_forest(codes: DataFrame, k: int) -> DataFrame:
     """(a, b), a < b: edges that connect the same distinct codes as all near pairs do, at most one
-    for each code and cell."""
+    for each code and task; an edge may come from several tasks."""
     c = codes.select("id", "code").filter("id is not null and code is not null")
     n = c.count()
-    found = over_cells(cells(c, k, n), k, "a bigint, b bigint", emit_forest, tasks_for(codes.sparkSession, n, k))
-    return found.distinct()
+    return contracted(over_cells(cells(c, k, n), k, "a bigint, b bigint", forest_in_cell, tasks_for(codes.sparkSession, n, k)))

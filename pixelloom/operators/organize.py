@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelloom.functions.dates import month_folder
 from pixelloom.functions.paths import backslashed, file_name, parent
-from pixelloom.session import Staging, staging
+from pixelloom.functions.ranks import ranked
+from pixelloom.session import Staging
 from pixelloom.sources.scan import names_in
 
 
@@ -48,8 +48,8 @@ def collision_safe(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame
     named = r"^((?:.*\\)?.+?)(\.[^.\\]*)?$"  # a leading dot belongs to the stem
     numbered = lambda n: F.when(n == 0, F.col("dst")).otherwise(F.concat(F.regexp_extract("dst", named, 1), F.lit(" ("), n.cast("string"), F.lit(")"), F.regexp_extract("dst", named, 2)))
     alone = p.filter("_n = 1 and src is not null").select("file_id", "src", "dst")
-    ranked = _rank(p.filter("not _mixed and _n > 1").select("file_id", "src", "dst", "_family"))
-    simple = ranked.select("file_id", "src", numbered(F.col("_rank")).alias("dst"))
+    among = ranked(p.filter("not _mixed and _n > 1").select("file_id", "src", "dst", "_family"), "_family", [F.col("src"), F.col("file_id")])
+    simple = among.select("file_id", "src", numbered(F.col("rank") - 1).alias("dst"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         claimed = set(pdf.loc[pdf["src"].isna(), "dst"])
@@ -73,20 +73,6 @@ def collision_safe(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame
     return alone.unionByName(simple).unionByName(walked)
 
 
-def _rank(rows: DataFrame) -> DataFrame:
-    """Adds ``_rank``, from 0 by src within ``_family``, without one task holding a family: sorted
-    pieces are ranked on their own and shifted by the sizes of the pieces before."""
-    pieces = max(2, rows.sparkSession.sparkContext.defaultParallelism)
-    # Written out, since a row's piece must be the same for its rank and for the pieces' sizes.
-    with staging(rows.sparkSession, "rank") as area:
-        cut = area.write(rows.repartitionByRange(pieces, "_family", "src").withColumn("_piece", F.spark_partition_id()))
-    own = F.row_number().over(W.partitionBy("_family", "_piece").orderBy("src", "file_id"))
-    sizes = cut.groupBy("_family", "_piece").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(W.partitionBy("_family").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shift = sizes.select("_family", "_piece", before.alias("_before"))
-    return cut.withColumn("_own", own).join(shift, ["_family", "_piece"]).withColumn("_rank", F.col("_own") - 1 + F.col("_before")).drop("_own", "_before", "_piece")
-
-
 def taken_names(plan: DataFrame, files: DataFrame, root: str) -> DataFrame:
     """(dst): names that a ``plan`` (dst) into ``root`` can't have: the catalogue's paths below it and
     what the plan's folders hold on disk, which tasks list."""

@@ -1,7 +1,9 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
-from pixelloom.operators import duplicates, hamming
+from pixelloom.operators import duplicates, graphs, hamming
 
 
 def codes(n, seed=1, planted=0.3):
@@ -44,7 +46,7 @@ def test_hot_cells_are_split_and_keep_all_pairs(spark):
     c = np.unique(rng.integers(0, 2**14, 500).astype(np.uint64) << np.uint64(20))
     df = frame(spark, c).select("id", "code")
     cells = hamming.cells(df, 3, len(c), hot=50)
-    found = hamming.over_cells(cells, 3, "a bigint, b bigint, distance int", hamming.emit_pairs, 4).distinct()
+    found = hamming.over_cells(cells, 3, "a bigint, b bigint, distance int", hamming.pairs_in_cell, 4).distinct()
     assert {(x["a"], x["b"]) for x in found.collect()} == brute(c, 3)
 
 
@@ -54,11 +56,30 @@ def test_large_cells_are_cut_and_keep_all_pairs(monkeypatch, bits):
     monkeypatch.setattr(hamming, "BLOCK", 16)
     rng = np.random.default_rng(bits)
     c = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64) & np.uint64(2**bits - 1)) if bits < 64 else codes(200)
-    i, j = hamming.near_in_cell(c, 5)
-    assert set(zip(i.tolist(), j.tolist())) == brute(c, 5)
+    ident = np.arange(len(c))
+    every = [np.concatenate(x) for x in zip(*hamming.pairs_in_cell(ident, c, 5))]
+    assert set(zip(every[0].tolist(), every[1].tolist())) == brute(c, 5)
+    linked = np.arange(len(c))
+    for a, b in hamming.forest_in_cell(ident, c, 5):
+        linked[b] = a
+    want = np.arange(len(c))
+    graphs.join_labels(want, *(np.array(x) for x in zip(*brute(c, 5))))
+    assert linked.tolist() == want.tolist()
     probe = np.arange(len(c)) % 3 == 0
-    i, j = hamming.near_in_cell(c, 5, probe)
-    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a, b in brute(c, 5) if probe[a] or probe[b]}
+    known = {int(x) for (part,) in hamming.known_in_cell(ident, c, 5, probe) for x in part}
+    assert known == {x for pair in brute(c, 5) for x, y in (pair, pair[::-1]) if probe[x] and not probe[y]}
+
+
+def test_a_dense_cell_needs_no_pair_list():
+    # 100,000 codes in 17 bits are billions of near pairs and one component.
+    rng = np.random.default_rng(3)
+    c = np.sort(rng.permutation(2**17)[:100_000]).astype(np.uint64) << np.uint64(11)
+    tracemalloc.start()
+    edges = list(hamming.forest_in_cell(np.arange(len(c)), c, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(a) for a, _ in edges) == len(c) - 1 and all((a == 0).all() for a, _ in edges)
+    assert peak < 100_000_000
 
 
 def test_a_dense_cluster_gives_few_edges(spark):
@@ -80,9 +101,9 @@ def star_rows(spark, c):
     return spark.createDataFrame([(i, int(x)) for i, x in enumerate(c.view(np.int64))], "file_id bigint, dhash bigint")
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
+@pytest.mark.parametrize("limit", [50, 1_000_000])
 def test_groups_equal_union_find(spark, monkeypatch, limit):
-    monkeypatch.setattr(duplicates, "ONE_TASK_EDGES", limit)
+    monkeypatch.setattr(graphs, "TASK_EDGES", limit)
     c = codes(300, seed=9, planted=0.8)
     chain = np.cumsum(np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(1, 40, dtype=np.uint64)]))
     c = np.unique(np.concatenate([c, chain]))
