@@ -15,53 +15,90 @@ for several of them at once.  :class:`StringIndex` is the index of strings of an
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+import json
+from math import comb
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.operators import hamming
-from pixelloom.session import Staging
+from pixelloom.session import Staging, fan_out
 
+#: Stored segments in a bucket that the number of buckets aims at, and the most buckets.
+BUCKET_ROWS, MAX_BUCKETS = 400_000, 4_096
+#: Cells asked for up to which the stored ones are filtered by a broadcast of them: some 3 MB.
+BROADCAST_CELLS = 200_000
 
-def _emit_links(ident: np.ndarray, code: np.ndarray, i: np.ndarray, j: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(a, b, known): of the near pairs in a cell, each probe that has a stored partner (known, b its
-    own code), and the pairs of probes of which neither has one here."""
-    hit = np.zeros(len(ident), bool)
-    mixed = probe[i] != probe[j]
-    hit[i[mixed]] = True
-    hit[j[mixed]] = True
-    hit &= probe
-    open_ = ~mixed & ~hit[i] & ~hit[j]
-    known = ident[hit]
-    return np.concatenate([known, ident[i[open_]]]), np.concatenate([known, ident[j[open_]]]), np.r_[np.ones(len(known), bool), np.zeros(int(open_.sum()), bool)]
 
+def make_folder(spark: SparkSession, folder: str) -> None:
+    """Creates an empty folder on the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
 
-class CodeIndex:
-    """Stored segments of 64-bit codes.  ``size`` is the expected number of codes, of which the number
-    of segments follows; it must stay the same for the life of an index."""
 
-    def __init__(self, area: Staging, tau: int, size: int):
-        self.area, self.tau, self.size = area, tau, size
-        self.agree = hamming.scheme(max(size, 1), tau)
-        self.parts: list[DataFrame] = []
+class CodeIndex:
+    """Segments of 64-bit codes stored in a shared folder, in buckets of cells.
+
+    ``size`` is the number of codes the index is made for; the number of segments and of buckets
+    follow from it and hold for its life.  A probe reads only the buckets of its own cells, so a batch
+    of a given size reads the smaller a share of the index the larger that is."""
+
+    def __init__(self, spark: SparkSession, folder: str, tau: int, size: int):
+        agree = hamming.scheme(max(size, 1), tau)
+        self.spark, self.folder, self.tau, self.agree, self.size = spark, folder, tau, agree, size
+        self.keys = comb(tau + agree, agree)
+        self.buckets = int(max(16, min(MAX_BUCKETS, -(-size * self.keys // BUCKET_ROWS))))
+
+    @classmethod
+    def create(cls, spark: SparkSession, folder: str, tau: int, size: int) -> CodeIndex:
+        """A new, empty index in a folder."""
+        out = cls(spark, folder, tau, size)
+        spark.createDataFrame([(json.dumps({"tau": tau, "size": size}),)], "value string").coalesce(1).write.text(f"{folder}/made")
+        make_folder(spark, f"{folder}/codes")
+        return out
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> CodeIndex:
+        """The index stored in a folder."""
+        made = json.loads(spark.read.text(f"{folder}/made").first()[0])
+        return cls(spark, folder, made["tau"], made["size"])
+
+    def _keyed(self, codes: DataFrame) -> DataFrame:
+        c = hamming.keyed(codes.select("code").filter("code is not null").distinct(), self.tau, self.agree)
+        return c.select(F.pmod("cell", F.lit(self.buckets)).cast("int").alias("bucket"), "cell", "code")
+
+    def _store(self, codes: DataFrame) -> None:
+        tasks = max(1, min(self.buckets, fan_out(self.spark, self.size * self.keys, BUCKET_ROWS)))
+        rows = self._keyed(codes).repartition(tasks, "bucket").sortWithinPartitions("bucket", "cell")
+        rows.write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/codes")
 
     def append(self, codes: DataFrame) -> None:
-        """Stores the segments of codes (code bigint).  Codes stored before may come again."""
-        c = codes.select("code").filter("code is not null").distinct()
-        self.parts.append(self.area.write(hamming.keyed(c, self.tau, self.agree).select("cell", "code")))
-
-    def probe(self, codes: DataFrame) -> DataFrame:
-        """(a, b, known) for distinct codes (code bigint): ``known`` rows, a = b, for each code with a
-        stored one at most tau bits away; the others link codes of the batch to each other, each pair
-        at least once unless one of the two is known."""
-        spark = codes.sparkSession
-        own = hamming.keyed(codes.select("code").filter("code is not null"), self.tau, self.agree).select("cell", "code", F.lit(True).alias("probe"))
-        stored = [p.withColumn("probe", F.lit(False)) for p in self.parts]
-        every = own
-        for p in stored:
-            every = every.unionByName(p)
-        rows = every.select(F.col("code").alias("id"), "code", "cell", "probe")
-        return hamming.over_cells(rows, self.tau, "a bigint, b bigint, known boolean", _emit_links, hamming.tasks_for(spark, self.size, self.tau)).distinct()
+        """Stores the segments of codes (code bigint) as further files; nothing stored is read or written
+        again.  Codes stored before may come again."""
+        self._store(codes)
+
+    def stored(self, buckets: list[int]) -> DataFrame:
+        """(cell, code) of some buckets; the files of the others aren't opened."""
+        return self.spark.read.schema("cell bigint, code bigint, bucket int").parquet(f"{self.folder}/codes").filter(F.col("bucket").isin(buckets)).select("cell", "code")
+
+    def known(self, codes: DataFrame) -> DataFrame:
+        """(code) of the probes (code bigint) that have a stored code at most tau bits away."""
+        own = self._keyed(codes)
+        asked = own.groupBy("bucket").agg(F.count("*").alias("n")).collect()  # at most MAX_BUCKETS rows
+        if not asked:
+            return self.spark.createDataFrame([], "code bigint")
+        stored = self.stored([r["bucket"] for r in asked])
+        if sum(r["n"] for r in asked) <= BROADCAST_CELLS:
+            stored = stored.join(F.broadcast(own.select("cell").distinct()), "cell", "left_semi")
+        every = own.select("cell", "code", F.lit(True).alias("probe")).unionByName(stored.withColumn("probe", F.lit(False)))
+        return known_codes(every, self.tau, hamming.tasks_for(self.spark, self.size, self.tau))
+
+
+def known_codes(keyed: DataFrame, tau: int, tasks: int) -> DataFrame:
+    """(code) of the probes among keyed codes (cell, code, probe) that have another code, which is no
+    probe, at most tau bits away."""
+    rows = keyed.select(F.col("code").alias("id"), "code", "cell", "probe")
+    return hamming.over_cells(rows, tau, "code bigint", hamming.known_in_cell, tasks).distinct()
 
 
 class StringIndex:

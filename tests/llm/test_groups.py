@@ -1,6 +1,7 @@
 """Problems 2, 4, 5 and 6: groups, survivors, neighbours and batches of picture hashes."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -232,16 +233,77 @@ def test_history_edge_cases(spark):
     assert run_history(spark, [(None, 0)], [(1, 1, None, 0), (1, 2, None, 0), (1, 3, None, None)]) == set()
 
 
-def test_index_is_appended_not_rebuilt(spark):
-    area = Staging(spark, "t")
-    index = segments.CodeIndex(area, 5, 100)
+def test_index_is_appended_not_rebuilt(spark, tmp_path):
+    segments.CodeIndex.create(spark, str(tmp_path / "i"), 5, 100)
+    index = segments.CodeIndex.open(spark, str(tmp_path / "i"))
     f = lambda *xs: spark.createDataFrame([(x, "c") for x in xs], "code bigint, cell string")
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "i").rglob("*.parquet")}
     far = 0xFFFF << 45
+    assert index.known(f(far)).count() == 0 and index.known(f()).count() == 0
     index.append(f(1 << 40))
-    assert {tuple(r) for r in index.probe(f((1 << 40) | 3, far)).collect()} == {((1 << 40) | 3, (1 << 40) | 3, True)}
+    before = files()
+    assert {r["code"] for r in index.known(f((1 << 40) | 3, far)).collect()} == {(1 << 40) | 3}
     index.append(f(far))
-    assert {r["a"] for r in index.probe(f(far ^ 5, 0xFFFF)).filter("known").collect()} == {far ^ 5}
-    assert len(index.parts) == 2
+    assert {r["code"] for r in index.known(f(far ^ 5, 0xFFFF)).collect()} == {far ^ 5}
+    assert all(files()[p] == t for p, t in before.items()) and len(files()) > len(before)
+
+
+def test_batches_one_by_one_give_what_all_at_once_give(spark, tmp_path):
+    rnd = random.Random(8)
+    pool = [rnd.getrandbits(63) for _ in range(30)]
+    row = lambda b, i: (b, i, rnd.choice([None, bytes([rnd.randrange(60)]) * 32]), rnd.choice(pool) ^ (1 << rnd.randrange(63)) ^ (1 << rnd.randrange(63)))
+    hist = [row(0, i)[2:] for i in range(10)]
+    inc = [row(b, 100 * b + i) for b in (1, 2, 3) for i in range(30)]
+    index = history.HistoryIndex.create(spark, str(tmp_path / "h"), 5, 100)
+    index.append(spark.createDataFrame(hist, "blake3 binary, dhash bigint"))
+    got = set()
+    for b in (1, 2, 3):
+        batch = spark.createDataFrame([(*r, "p") for r in inc if r[0] == b], HASH)
+        got |= {tuple(r) for r in history.HistoryIndex.open(spark, str(tmp_path / "h")).check(batch).collect()}
+    assert got == run_history(spark, hist, inc) == sequential(hist, inc)
+
+
+def test_a_small_batch_opens_a_share_of_the_index_that_falls_with_its_size(spark, tmp_path):
+    def share(n):
+        index = segments.CodeIndex.create(spark, str(tmp_path / f"i{n}"), 5, n)
+        rng = np.random.default_rng(n)
+        index.append(spark.createDataFrame([(int(x),) for x in rng.integers(-(2**63), 2**63 - 1, 300)], "code bigint"))
+        asked = index._keyed(spark.createDataFrame([(12345,)], "code bigint")).select("bucket").distinct()
+        stored = index.stored([r["bucket"] for r in asked.collect()])
+        opened = [r[0] for r in stored.select(F.input_file_name()).distinct().collect()]
+        size = lambda paths: sum(p.stat().st_size for p in paths)
+        return size(map(Path, (p.removeprefix("file://") for p in opened))) / size((tmp_path / f"i{n}" / "codes").rglob("*.parquet"))
+
+    small, large = share(100), share(5_000_000)
+    assert large < small / 3
+
+
+@pytest.mark.parametrize("walk", [7, 100_000])
+def test_large_components_are_settled_from_the_front(spark, monkeypatch, walk):
+    monkeypatch.setattr(history, "WALK", walk)
+    rnd = random.Random(walk)
+    x, inc = rnd.getrandbits(60), []
+    for i in range(80):
+        x ^= (1 << rnd.randrange(60)) | (1 << rnd.randrange(60))
+        inc.append((1, i, rnd.choice([None, bytes([rnd.randrange(9)]) * 32]), x))
+    assert run_history(spark, [], inc) == sequential([], inc)
+
+
+def test_writes_do_not_grow_with_a_chain(spark, monkeypatch):
+    written = []
+    real = Staging.write
+    monkeypatch.setattr(Staging, "write", lambda self, *a, **k: written.append(1) or real(self, *a, **k))
+
+    def writes(n):
+        written.clear()
+        x, inc = 0x5555, []
+        for i in range(n):
+            x ^= 0b1111 << (3 * i)
+            inc.append((1, i, None, x))
+        run_history(spark, [], inc)
+        return len(written)
+
+    assert writes(4) == writes(16)
 
 
 @pytest.mark.parametrize("tau", [1, 2, 3])
