@@ -9,7 +9,7 @@ from pixelloom.functions.ranks import ranked
 from pixelloom.functions.skew import join_hot
 from pixelloom.operators import hamming
 from pixelloom.operators.graphs import min_labels
-from pixelloom.session import Staging, staging
+from pixelloom.session import seen_in, staging
 
 def exact_members(files: DataFrame, hashes: DataFrame, code: str = "blake3") -> DataFrame:
     """(group_id, file_id, path, size, width, height) of files that share a content hash with another;
@@ -29,8 +29,8 @@ def code_members(hashes: DataFrame) -> DataFrame:
     bits and this membership give all pairs of files."""
     h = hashes.select("file_id", F.col("dhash").alias("code")).filter("code is not null")
     with staging(hashes.sparkSession, "members") as area:
-        reps = area.write(hamming.representatives(h, "code", "file_id"))
-        total = reps.agg(F.sum("n")).first()[0] or 0
+        reps = area.write(hamming.representatives(h, "code", "file_id"), total=F.sum("n"))
+        total = seen_in(reps, "total")
         return join_hot(h, reps, "code", "n", total).select("file_id", F.col("rep").alias("representative"), "n")
 
 
@@ -42,12 +42,11 @@ def near_groups(hashes: DataFrame, k: int = 5, method: str = "bands") -> DataFra
         raise ValueError(f"unknown method: {method}")
     h = hashes.select("file_id", F.col("dhash").alias("code")).filter("code is not null and file_id is not null")
     with staging(hashes.sparkSession, "near") as area:
-        reps = area.write(hamming.representatives(h, "code", "file_id"))
-        edges = hamming.near_forest(reps.select(F.col("rep").alias("id"), "code"), k)
+        reps = area.write(hamming.representatives(h, "code", "file_id"), total=F.sum("n"))
+        edges = hamming.near_forest(reps.select(F.col("rep").alias("id"), "code"), k, seen_in(reps))
         labels = min_labels(area, edges)
         grouped = area.write(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").filter("n > 1 or label is not null").select("code", F.coalesce("label", "rep").alias("group_id"), "n"))
-        total = reps.agg(F.sum("n")).first()[0] or 0
-        return join_hot(h, grouped, "code", "n", total).select("file_id", "group_id")
+        return join_hot(h, grouped, "code", "n", seen_in(reps, "total")).select("file_id", "group_id")
 
 
 def with_catalogue(groups: DataFrame, files: DataFrame) -> DataFrame:

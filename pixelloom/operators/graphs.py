@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.skew import lookup
-from pixelloom.session import Staging
+from pixelloom.session import Staging, seen_in
 
 #: Edges that a task contracts at once: some 16 MB.
 TASK_EDGES = 1_000_000
@@ -70,6 +70,11 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
+def tasks_for(edges: int) -> int:
+    """Tasks over which a number of edges is spread for :func:`contracted`."""
+    return max(1, -(-edges // TASK_EDGES))
+
+
 def min_labels(area: Staging, edges: DataFrame) -> DataFrame:
     """(node, label): every node of the edges (a, b) with the smallest node of its component.
 
@@ -79,14 +84,13 @@ def min_labels(area: Staging, edges: DataFrame) -> DataFrame:
     likewise.  Each round is written out; it ends when only stars are left."""
     e = area.write(contracted(edges.select("a", "b").filter("a <> b")))
     while True:
-        size = e.count()
-        tasks = -(-size // TASK_EDGES) or 1
+        tasks = tasks_for(seen_in(e))
         stars = area.write(contracted(e.repartition(tasks, F.least("a", "b"))))
         area.drop(e)
         if tasks == 1:
             e = stars
             break
-        size = stars.count()
+        size = 2 * seen_in(stars)
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # A hub is the key of very many edges.

@@ -249,9 +249,10 @@ def near_pairs(codes: DataFrame, k: int) -> DataFrame:
     return found.distinct()
 
 
-def near_forest(codes: DataFrame, k: int) -> DataFrame:
+def near_forest(codes: DataFrame, k: int, n: int | None = None) -> DataFrame:
     """(a, b), a < b: edges that connect the same distinct codes as all near pairs do, at most one
-    for each code and task; an edge may come from several tasks."""
+    for each code and task; an edge may come from several tasks.  ``n`` is the number of codes, where
+    the caller knows it."""
     c = codes.select("id", "code").filter("id is not null and code is not null")
-    n = c.count()
+    n = c.count() if n is None else n
     return contracted(over_cells(cells(c, k, n), k, "a bigint, b bigint", forest_in_cell, tasks_for(codes.sparkSession, n, k)))

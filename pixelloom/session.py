@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings the operators rely on; the caller's session wins where it sets them itself.
 DEFAULTS = {
@@ -57,15 +58,14 @@ class Staging:
         with suppress(Exception):  # the session may be gone
             self._delete(self.root)
 
-    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, **observed: Column) -> DataFrame:
+        """The table as written; ``observed`` are aggregates taken while it is, for :func:`seen_in`."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        writer = df.write.option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in observed.items()]).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._pixelloom_path = path
+        out._pixelloom_path, out._pixelloom_seen = path, seen.get
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
@@ -81,6 +81,12 @@ class Staging:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def seen_in(table: DataFrame, name: str = "rows") -> int:
+    """The number of rows of a table of :meth:`Staging.write`, or another aggregate observed there: it
+    was taken while the table was written, without a job of its own."""
+    return table._pixelloom_seen[name] or 0
+
+
 @contextmanager
 def staging(spark: SparkSession, purpose: str) -> Iterator[Staging]:
     """A :class:`Staging` whose tables are deleted if the block fails; after success the last ones
