@@ -26,7 +26,7 @@ from pixelloom.llm.consensus import counting_hash
 from pixelloom.llm.segments import MAX_BUCKETS, CodeIndex, known_codes, make_folder
 from pixelloom.operators import hamming
 from pixelloom.operators.graphs import min_labels
-from pixelloom.session import Staging, fan_out, staging
+from pixelloom.session import Staging, fan_out, seen_in, staging
 
 #: Rows of a component that one task settles in order.
 WALK = 100_000
@@ -101,7 +101,7 @@ class HistoryIndex:
             hashed = rows.filter("blake3 is not null or dhash is not null")
             # The first row of a pair of hashes stands for all: whatever becomes of it, the others are cases.
             heads = area.write(hashed.groupBy("blake3", "dhash").agg(F.min("pos").alias("pos")))
-            total = heads.count()
+            total = seen_in(heads)
             b = area.write(self.known_contents(heads))
             d = area.write(self.codes.known(heads.select(F.col("dhash").alias("code"))).withColumnRenamed("code", "dhash"))
             flagged = area.write(_marked(_marked(heads, b, "blake3", "b", total), d, "dhash", "d", total))
@@ -128,11 +128,11 @@ def _components(area: Staging, rows: DataFrame, tau: int) -> DataFrame:
     edges = None
     for key in ("blake3", "dhash"):
         own = rows.filter(F.col(key).isNotNull()).select("pos", key)
-        least = area.write(own.groupBy(key).agg(F.min("pos").alias("a"), F.count("*").alias("n")))
-        same = join_hot(own, least.filter("n > 1"), key, "n", own.count()).select("a", F.col("pos").alias("b"))
+        least = area.write(own.groupBy(key).agg(F.min("pos").alias("a"), F.count("*").alias("n")), total=F.sum("n"))
+        same = join_hot(own, least.filter("n > 1"), key, "n", seen_in(least, "total")).select("a", F.col("pos").alias("b"))
         edges = same if edges is None else edges.unionByName(same)
         if key == "dhash":
-            edges = edges.unionByName(hamming.near_forest(least.select(F.col("a").alias("id"), F.col("dhash").alias("code")), tau))
+            edges = edges.unionByName(hamming.near_forest(least.select(F.col("a").alias("id"), F.col("dhash").alias("code")), tau, seen_in(least)))
     return min_labels(area, edges).select(F.col("node").alias("pos"), "label")
 
 
@@ -193,10 +193,9 @@ def _settle(area: Staging, rows: DataFrame, tau: int) -> DataFrame:
     cases = spark.createDataFrame([], "pos bigint")
     while True:
         linked = area.write(rows.join(_components(area, rows, tau), "pos"))
-        sizes = area.write(linked.groupBy("label").agg(F.count("*").alias("n")))
-        counts = sizes.agg(F.sum("n"), F.max("n")).first()
-        tasks = fan_out(spark, counts[0] or 0, 2 * WALK)
-        if (counts[1] or 0) <= WALK:
+        sizes = area.write(linked.groupBy("label").agg(F.count("*").alias("n")), most=F.max("n"))
+        tasks = fan_out(spark, seen_in(linked), 2 * WALK)
+        if seen_in(sizes, "most") <= WALK:
             return cases.unionByName(_walk(linked, tau, tasks).filter("case").select("pos"))
         # Of a larger component the first rows, about WALK of them.  There are few such components.
         large = sizes.filter(F.col("n") > WALK)
@@ -208,11 +207,11 @@ def _settle(area: Staging, rows: DataFrame, tau: int) -> DataFrame:
         # The others against what these accepted: cases through it are settled, the rest goes on.
         new = parted.filter("now").join(walked.filter("not case"), "pos")
         rest = area.write(parted.filter("not now").select("pos", "blake3", "dhash"))
-        total = rest.count()
+        total = seen_in(rest)
         codes = rest.select(F.col("dhash").alias("code"), F.lit(True).alias("probe")).unionByName(new.select(F.col("dhash").alias("code"), F.lit(False).alias("probe")))
-        agree = hamming.scheme(counts[0], tau)
+        agree = hamming.scheme(seen_in(linked), tau)
         keyed = hamming.keyed(codes.filter("code is not null").distinct(), tau, agree)
-        d = area.write(known_codes(keyed, tau, hamming.tasks_for(spark, counts[0], tau)).withColumnRenamed("code", "dhash"))
+        d = area.write(known_codes(keyed, tau, hamming.tasks_for(spark, seen_in(linked), tau)).withColumnRenamed("code", "dhash"))
         b = new.select("blake3").filter("blake3 is not null").distinct()
         marked = area.write(_marked(_marked(rest, b, "blake3", "b", total), d, "dhash", "d", total))
         cases = cases.unionByName(marked.filter("b or d").select("pos"))

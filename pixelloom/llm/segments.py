@@ -30,10 +30,15 @@ BUCKET_ROWS, MAX_BUCKETS = 400_000, 4_096
 BROADCAST_CELLS = 200_000
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    """A path of the shared file system, and that file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def make_folder(spark: SparkSession, folder: str) -> None:
-    """Creates an empty folder on the shared file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    at, fs = _place(spark, folder)
+    fs.mkdirs(at)
 
 
 class CodeIndex:
@@ -53,14 +58,17 @@ class CodeIndex:
     def create(cls, spark: SparkSession, folder: str, tau: int, size: int) -> CodeIndex:
         """A new, empty index in a folder."""
         out = cls(spark, folder, tau, size)
-        spark.createDataFrame([(json.dumps({"tau": tau, "size": size}),)], "value string").coalesce(1).write.text(f"{folder}/made")
         make_folder(spark, f"{folder}/codes")
+        at, fs = _place(spark, f"{folder}/made.json")
+        stream = fs.create(at, False)
+        stream.write(bytearray(json.dumps({"tau": tau, "size": size}), "utf-8"))
+        stream.close()
         return out
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> CodeIndex:
         """The index stored in a folder."""
-        made = json.loads(spark.read.text(f"{folder}/made").first()[0])
+        made = json.loads(spark.read.text(f"{folder}/made.json").first()[0])
         return cls(spark, folder, made["tau"], made["size"])
 
     def _keyed(self, codes: DataFrame) -> DataFrame:
