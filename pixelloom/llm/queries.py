@@ -26,8 +26,7 @@ def p2_consensus_path(spark: SparkSession, folder: str) -> DataFrame:
     """(group_id, path, distance, votes): of each duplicate group the path closest to the consensus of
     the members' aligned path tokens."""
     m = consensus.duplicate_members(table(spark, folder, "files"), table(spark, folder, "hashes"))
-    words = F.filter(F.split(F.col("value"), r"[\\/]|(?<=[^\\/])(?=[ ._-])"), lambda t: t != "")
-    best = consensus.consensus_of_tokens(m.select("group", F.col("path").alias("value")), words)
+    best = consensus.consensus_of_tokens(m.select("group", F.col("path").alias("value")), consensus.path_tokens(F.col("value")))
     return best.select(F.col("group").alias("group_id"), F.col("value").alias("path"), "distance", "votes")
 
 

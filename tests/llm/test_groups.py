@@ -108,24 +108,64 @@ def test_consensus_takes_the_value_nearest_to_the_vote(spark):
     assert run_consensus(spark, []) == {}
 
 
-def test_long_values_vote_whole(spark):
-    long = " ".join(["w"] * 1000)
-    assert run_consensus(spark, [(1, long), (1, long), (1, "w w")], max_tokens=50)[1][0] == long
+def test_long_values_are_aligned_whole(spark, monkeypatch):
+    # All values agree but for a word each, of which no two are the same; one of them has none.
+    words = [f"w{i}" for i in range(1000)]
+    odd = lambda i: " ".join(words[:i] + ["x"] + words[i + 1 :])
+    values = [(1, odd(i)) for i in (10, 400, 401, 990)] + [(1, " ".join(words))]
+    assert run_consensus(spark, values)[1] == (" ".join(words), 0)
+    monkeypatch.setattr(consensus, "MAX_CELLS", 50_000)  # pairs are halved first
+    assert run_consensus(spark, values)[1] == (" ".join(words), 0)
 
 
 def test_large_groups_are_aligned_in_blocks(spark, monkeypatch):
+    values = [(1, f"the {i} cat sat down") for i in range(60)] + [(1, "the grey cat sat down")] * 9 + [(2, "a b"), (2, "a c")]
+    whole = run_consensus(spark, values)
     monkeypatch.setattr(consensus, "BLOCK", 4)
-    monkeypatch.setattr(consensus, "FAN_IN", 2)
-    values = [(1, f"the {i} cat sat down") for i in range(60)] + [(1, "the grey cat sat down")] * 9
-    assert run_consensus(spark, values)[1][0] == "the grey cat sat down"
-
-
-def test_alignment_of_profiles():
-    p = consensus.align([], [{t: 1.0} for t in "abc"])
-    p = consensus.align(p, [{t: 1.0} for t in "ac"])
-    assert consensus.consensus(p) == ["a", "b", "c"] or consensus.consensus(p) == ["a", "c"]
-    p = consensus.align(p, [{t: 5.0} for t in "ac"])
-    assert consensus.consensus(p) == ["a", "c"]
+    assert whole[1][0] == "the grey cat sat down" and run_consensus(spark, values) == whole
+
+
+def test_blocks_choose_what_the_whole_group_chooses(spark, monkeypatch):
+    rnd = random.Random(4)
+    values = []
+    for g in range(12):
+        base = [rnd.choice("abcdefgh") for _ in range(8)]
+        for _ in range(40):
+            own = list(base)
+            for _ in range(rnd.randrange(3)):
+                own[rnd.randrange(len(own))] = rnd.choice("abcdefgh")
+            if rnd.random() < 0.3:
+                del own[rnd.randrange(len(own))]
+            values += [(g, " ".join(own))] * rnd.randrange(1, 3)
+    whole = run_consensus(spark, values)
+    monkeypatch.setattr(consensus, "BLOCK", 8)
+    blocks = run_consensus(spark, values)
+    assert sum(whole[g][0] == blocks[g][0] for g in whole) >= 11
+
+
+@pytest.mark.parametrize("block", [3, 64])
+def test_trusted_values_outweigh_all_below_them(spark, monkeypatch, block):
+    monkeypatch.setattr(consensus, "BLOCK", block)
+    paths = [f"/a/b{i:02}/long name.jpg" for i in range(20)] + ["/z/y.jpg", "/z/x.jpg", "/a/b00/long name 2.jpg"]
+    files = spark.createDataFrame([(i, p, 5 if i % 2 else 6, 10, 20) for i, p in enumerate(paths)], "id bigint, path string, size bigint, width bigint, height bigint")
+    hashes = spark.createDataFrame([(i, bytes([7]) * 32) for i in range(len(paths))], "file_id bigint, blake3 binary")
+    assert [tuple(r) for r in consensus.surviving_fields(files, hashes).collect()] == [(0, 0, 0, paths.index("/z/x.jpg"))]
+
+
+def test_fields_come_through_the_alignment(spark, monkeypatch):
+    monkeypatch.setattr(consensus, "align", None)
+    files = spark.createDataFrame([(i, f"/{i}", i, 10, 20) for i in range(3)], "id bigint, path string, size bigint, width bigint, height bigint")
+    with pytest.raises(Exception, match="NoneType"):
+        consensus.surviving_fields(files, spark.createDataFrame([(i, bytes([7]) * 32) for i in range(3)], "file_id bigint, blake3 binary")).collect()
+
+
+def test_alignment_of_values():
+    seq = np.array([[[1, 2, 3], [1, 3, -1], [1, 3, -1]]], np.int32)
+    length, weight = np.array([[3, 2, 2]]), np.array([[1.0, 1.0, 5.0]])
+    columns, used = consensus.align(seq, length, weight)
+    assert columns[0, :, : used[0]].tolist() == [[1, 2, 3], [1, -1, 3], [1, -1, 3]]
+    token, n = consensus.consensus(columns, weight)
+    assert token[0, : n[0]].tolist() == [1, 3]
     assert consensus.token_distance(list("kitten"), list("sitting")) == 3 and consensus.token_distance([], ["a"]) == 1
 
 
