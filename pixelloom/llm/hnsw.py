@@ -4,8 +4,10 @@ Codes are sharded by bands of their bits: of k + 1 disjoint bands, two codes at
 agree on at least one, so with one shard for each value of a band (as many of its bits as the number
 of codes asks for) every near pair shares a shard, whatever the number of shards.  A shard's
 hierarchical graph is a set of flat neighbour arrays, built and searched in batches of array
-operations: one step expands the best nodes of all queries of a batch at once.  Every code is
-searched for in its shards, and the shards' results are merged.
+operations: one step expands the best nodes of all queries of a batch at once.  The first batch of a
+graph is compared with itself, so the neighbour arrays of a shard of one batch hold the exact nearest
+ones and are read off; in a larger shard every code is searched for in its graph.  The shards'
+results are merged.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.skew import join_hot
 from pixelloom.operators import hamming
-from pixelloom.session import fan_out, staging
+from pixelloom.session import fan_out, seen_in, staging
 
 #: Codes of a shard that the number of shards aims at, and above which a shard is cut again.
-SHARD, LARGE_SHARD = 8_192, 32_768
+SHARD, LARGE_SHARD = 512, 32_768
+#: Codes up to which a graph is one batch, compared with itself.
+ONE_BATCH = 4_096
+#: Places of the table of seen nodes that a batch of searches may take.
+MAX_SEEN = 1 << 26
 _ID = np.int64(1) << np.int64(32)
 _NONE = np.int64(1) << np.int64(56)
 
@@ -36,8 +42,14 @@ class FlatGraph:
     beam orders it and keeps its state."""
 
     def __init__(self, codes: np.ndarray, m: int = 10, ef_build: int = 24, batch: int = 1_024, seed: int = 7):
-        self.codes, self.m, self.ef, self.batch = codes, m, ef_build, batch
         n = len(codes)
+        self.codes, self.m, self.ef, self.batch = codes, m, ef_build, min(batch, max(16, MAX_SEEN // (n + 1)))
+        self.exact = n <= ONE_BATCH
+        if self.exact:
+            # Nothing is inserted or searched for later: one layer of exact neighbours is all it needs.
+            self.level, self.top, self.entry = np.zeros(n, np.int64), 0, 0
+            self.links = [self._exact_links()]
+            return
         rng = np.random.default_rng(seed)
         level = np.minimum((-np.log(1 - rng.random(n)) / np.log(m)).astype(np.int64), 6)
         self.level = level
@@ -45,10 +57,35 @@ class FlatGraph:
         self.entry, self.top = 0, -1
         at = 0
         while at < n:
-            size = min(n - at, max(64, min(batch, at)))
+            size = min(n - at, max(64, min(self.batch, at)))
             self._insert(np.arange(at, at + size))
             at += size
 
+    def _exact_links(self, rows: int = 256) -> np.ndarray:
+        """The neighbour array of codes compared with each other: the nearest first, of equally near
+        ones the lower node."""
+        n = len(self.codes)
+        links = np.full((n, min(self.m, max(n - 1, 1))), -1, np.int32)
+        node = np.arange(n, dtype=np.int32)
+        for at in range(0, n if n > 1 else 0, rows):
+            own = self.codes[at : at + rows]
+            keys = (np.bitwise_count(own[:, None] ^ self.codes[None, :]).astype(np.int32) << 16) | node[None, :]
+            keys[np.arange(len(own)), at + np.arange(len(own))] = np.iinfo(np.int32).max
+            some = links.shape[1]
+            if some < n - 1:
+                keys = np.partition(keys, some - 1, axis=1)[:, :some]
+            keys.sort(axis=1)
+            links[at : at + rows] = keys[:, :some] & 0xFFFF
+        return links
+
+    def nearest(self, nodes: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """(neighbours, distances) of nodes, the nearest first: read off the neighbour array where it is
+        exact, else searched for."""
+        if not self.exact:
+            return self.search_own(nodes, ef)
+        near = self.links[0][nodes].astype(np.int64)
+        return near, np.where(near < 0, 64, np.bitwise_count(self.codes[nodes][:, None] ^ self.codes[near]).astype(np.int64))
+
     # ------------------------------------------------------------ search
 
     def _keys(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -202,14 +239,15 @@ class FlatGraph:
             links[nodes] = self._diverse(keys, wide // 2 if layer == 0 else wide, fill=wide)
 
 
-def shard_neighbours(codes: np.ndarray, k: int, keep: int, ef: int, batch: int = 2_048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shard_neighbours(codes: np.ndarray, k: int, keep: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, neighbour, distance) of the up to ``keep`` best neighbours within k bits of every code
     of one shard; of equally near ones the lower node."""
-    graph = FlatGraph(codes)
+    graph = FlatGraph(codes, m=max(10, keep))
     out = []
+    batch = max(16, min(2_048, MAX_SEEN // (len(codes) + 1)))
     for at in range(0, len(codes), batch):
         nodes = np.arange(at, min(at + batch, len(codes)))
-        near, dist = graph.search_own(nodes, ef)
+        near, dist = graph.nearest(nodes, ef)
         ok = (near >= 0) & (near != nodes[:, None]) & (dist <= k)
         ok &= np.cumsum(ok, axis=1) <= keep
         r, c = np.nonzero(ok)
@@ -253,8 +291,8 @@ def nearest_codes(codes: DataFrame, k: int, keep: int, ef: int = 32) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(ident[s:e][a]), pa.array(ident[s:e][b]), pa.array(d.astype(np.int32))], names=["id", "near_id", "distance"])
 
     sharded = shard_codes(c, k, n)
-    # Some seconds a task: a shard's work is far larger than its bytes.
-    tasks = fan_out(codes.sparkSession, n * (k + 1), 3 * SHARD)
+    # About a second a task: a shard's work is far larger than its bytes.
+    tasks = fan_out(codes.sparkSession, n * (k + 1), 60_000)
     found = sharded.select("id", "code", "cell").repartition(tasks, "cell").mapInArrow(run, "id bigint, near_id bigint, distance int")
     # What one code finds, the other has found as well; shards repeat each other.  An explode, since a
     # union would search twice.
@@ -273,8 +311,8 @@ def similar_files(rows: DataFrame, code: str, ident: str, k: int, keep: int = 3,
     spark: SparkSession = rows.sparkSession
     r = rows.select(F.col(code).alias("code"), F.col(ident).alias("id")).filter("code is not null and id is not null").distinct()
     with staging(spark, "nearest") as area:
-        reps = area.write(hamming.representatives(r, "code", "id"))
-        total = reps.agg(F.sum("n")).first()[0] or 0
+        reps = area.write(hamming.representatives(r, "code", "id"), total=F.sum("n"))
+        total = seen_in(reps, "total")
         near = nearest_codes(reps.select(F.col("rep").alias("id"), "code"), k, keep, ef)
         # The smallest members of each code: a member's own copies, and what others may take of them.
         rank = F.row_number().over(W.partitionBy("code").orderBy("id"))

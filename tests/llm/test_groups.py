@@ -187,7 +187,9 @@ def test_similar_files_reach_the_exact_ones(spark):
     assert len(got & want) >= 0.98 * len(want) and len(got & want) >= 0.98 * len(got)
 
 
-def test_graphs_over_many_shards(spark, monkeypatch):
+@pytest.mark.parametrize("one_batch", [100, 4_096])
+def test_graphs_over_many_shards(spark, monkeypatch, one_batch):
+    monkeypatch.setattr(hnsw, "ONE_BATCH", one_batch)
     monkeypatch.setattr(hnsw, "SHARD", 200)
     monkeypatch.setattr(hnsw, "LARGE_SHARD", 300)
     c = codes(700, 4)
