@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.operators.graphs import contracted, join_labels
+from pixelloom.operators.graphs import contract, contracted, join_labels
 from pixelloom.session import fan_out
 
 BITS = 64
@@ -146,6 +146,11 @@ def forest_in_cell(ident: np.ndarray, code: np.ndarray, k: int) -> Iterator[tupl
     bits are near, and sorting finds them, which links most of a dense cell; tiles of which all codes
     are linked already can't add anything and are left out."""
     n = len(code)
+    if n <= BLOCK:
+        i, j = near_in_block(code, code, k, True)
+        if len(i):
+            yield contract(ident[i], ident[j])
+        return
     label = np.arange(n)
     if n > 8 * BLOCK and k:
         bits = _varying(code)
@@ -155,16 +160,14 @@ def forest_in_cell(ident: np.ndarray, code: np.ndarray, k: int) -> Iterator[tupl
             same = key[order][1:] == key[order][:-1]
             join_labels(label, order[:-1][same], order[1:][same])
     for own in cuts(code, k):
-        if n > BLOCK:
-            own = own[np.argsort(label[own], kind="stable")]
+        own = own[np.argsort(label[own], kind="stable")]
         for s in range(0, len(own), BLOCK):
             u = own[s : s + BLOCK]
             for t in range(s, len(own), BLOCK):
                 v = own[t : t + BLOCK]
-                if n > BLOCK:
-                    first = label[u[0]]
-                    if (label[u] == first).all() and (label[v] == first).all():
-                        continue
+                first = label[u[0]]
+                if (label[u] == first).all() and (label[v] == first).all():
+                    continue
                 i, j = near_in_block(code[u], code[v], k, s == t)
                 if len(i):
                     join_labels(label, u[i], v[j])

@@ -12,12 +12,13 @@ candidates: their number is bounded by the notations below, not by the data.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions.paths import ancestors, folded
+from pixelloom.functions.skew import lookup
+from pixelloom.session import Staging, seen_in, staging
 
 FIRST, LAST = 1_199_145_600, 1_767_225_600  # 2008-01-01 and 2026-01-01, in seconds since 1970
 #: Roots up to this many go into the plan as a literal map; more are joined.
@@ -44,6 +45,9 @@ WRITTEN = {
     "month_d_y": (rf"(?i)^{WEEKDAY}({MONTH_WORD})\.? (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}}),?(?: at)? {TIME}{ZONE}$", (3, 1, 2), 4),
     "compact": (r"^(\d{4})(\d{2})(\d{2})[Tt _-]?(\d{2})(\d{2})(?:(\d{2})(?:[.,]\d+)?)?()" + ZONE + "$", (1, 2, 3), 4),
 }
+#: What a match begins with once its groups are written out, and the type of readings.
+MARK = "\x01"
+READINGS = "array<struct<notation:string,epoch_s:bigint,fold:string>>"
 #: Counts: units to the second and seconds from the count's epoch to 1970.
 UNIX_COUNTS = {"unix_s": (1, 0), "unix_ms": (1_000, 0), "unix_us": (1_000_000, 0), "unix_ns": (1_000_000_000, 0)}
 WINDOWS_COUNTS = {"windows_100ns": (10_000_000, WINDOWS_TO_UNIX_S)}
@@ -54,11 +58,6 @@ def _number(text: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), F.lit(0))
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once a row, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _days_since_1970(y: Column, m: Column, d: Column) -> Column:
     """Day number of a civil date of the Gregorian calendar, in integer arithmetic (years above 0)."""
     shifted = y - F.when(m <= 2, 1).otherwise(0)
@@ -84,70 +83,95 @@ def wall_to_epoch(wall_s: Column, zone: Column) -> Column:
     return F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(wall_s), zone))
 
 
-def _written(text: Column, name: str, zone: Column) -> Column:
-    """The epoch seconds of one notation's reading, NULL if the value isn't a valid one."""
-    pattern, (iy, im, iday), time = WRITTEN[name]
-    # One match a value: its groups go, in a fixed order, into an array that the rest reads.
-    groups = F.split(F.regexp_replace(text, pattern, "|".join(f"${i}" for i in (iy, im, iday, *range(time, time + 9)))), "\\|")
-    return F.when(text.rlike(pattern), _bind(groups, lambda g: _instant(g, zone)))
-
-
-def _instant(g: Column, zone: Column) -> Column:
-    """From year, month, day, hour, minute, second, half of the day, Z, sign, two parts of an offset
-    and a region."""
-    numbers = F.array(_number(g[0]), _month_number(g[1]), *[_number(g[i]) for i in (2, 3, 4, 5, 9, 10)])
-    half, utc, sign, region = F.lower(g[6]), g[7], g[8], g[11]
-
-    def checked(n: Column) -> Column:
-        y, m, d, hour, minute, second, oh, om = (n[i] for i in range(8))
-        hour24 = F.when(half == "", hour).when(half == "a", hour % 12).otherwise(hour % 12 + 12)
-        valid = (
-            (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= _month_length(y, m)) & (minute <= 59) & (second <= 59)
-            & F.when(half == "", hour <= 23).otherwise(hour.between(1, 12)) & (oh <= 18) & (om <= 59)
-        )
-        wall = _days_since_1970(y, m, d) * 86_400 + hour24 * 3600 + minute * 60 + second
-        offset = (oh * 3600 + om * 60) * F.when(sign == "-", -1).otherwise(1)
-        # A region counts only in the form Area/City; anything else in brackets is a comment.
-        at = F.when(region.rlike(r"^[A-Z][A-Za-z_]+/[A-Za-z_+/-]+\d*$"), region).otherwise(zone)
-        given = F.when(sign != "", wall - offset).when(utc != "", wall)
-        return F.when(valid, F.coalesce(given, F.when(at.isNotNull(), wall_to_epoch(wall, at)))).cast("bigint")
-
-    return _bind(numbers, checked)
-
-
 def _count(text: Column, units: int, shift: int) -> Column:
-    whole = F.regexp_extract(text, r"^\+?(\d{1,19})(?:\.\d*)?$", 1).try_cast("bigint")
     # ``div`` is integral; a division in doubles would round the largest counts.
-    return F.call_function("div", whole, F.lit(units).cast("bigint")) - shift
-
-
-def readings(value: Column, zone: Column, windows: Column) -> Column:
-    """Every valid reading of a value: ``array<struct<notation string, epoch_s bigint>>``, those of an
-    instant within 2008 to 2025.  ``zone`` is the IANA zone of wall times, NULL where there is none;
-    ``windows`` says whether counts from the Windows epoch may occur."""
-
-    def read(text: Column) -> Column:
-        written = {name: _written(text, name, zone) for name in WRITTEN}
-        counts = {name: _count(text, *unit) for name, unit in UNIX_COUNTS.items()}
-        counts |= {name: F.when(windows, _count(text, *unit)) for name, unit in WINDOWS_COUNTS.items()}
-        bare = text.rlike(r"^[+]?\d+(\.\d*)?$")
-        found = lambda kinds: F.array(*[F.struct(F.lit(name).alias("notation"), at.alias("epoch_s")) for name, at in kinds.items()])
-        some = lambda *names: found({n: written[n] for n in names})
-        # How a value begins rules most notations out, so that few of the patterns are tried on it.
-        every = (
-            F.when(bare & ~F.length(text).isin(12, 14), found(counts))
-            .when(bare, found({"compact": written["compact"]} | counts))
-            .when(text.rlike(r"^\d{4}[-:/.]"), some("ymd"))
-            .when(text.rlike(r"^\d{8}"), some("compact"))
-            .when(text.rlike(r"^\d{1,2}[-/.]\d"), some("dmy", "mdy"))
-            .when(text.rlike(r"^(?:\d{1,2}(?:st|nd|rd|th|\.)?[ -])?[A-Za-z]"), some("d_month_y", "month_d_y"))
-            .otherwise(F.array().cast("array<struct<notation:string,epoch_s:bigint>>"))
-        )
-        return F.filter(every, lambda x: x["epoch_s"].between(FIRST, LAST - 1))
-
-    # The longest notation has about 60 characters; a longer text is none, and isn't searched.  Padding doesn't count.
-    text = F.trim(F.regexp_replace(value, BLANK, " "))
-    return _bind(text, lambda text: _bind(F.when(F.length(text) <= 200, text), read))
+    return F.call_function("div", text, F.lit(units).cast("bigint")) - shift
+
+
+def _in_years(epoch: Column) -> Column:
+    return epoch.between(FIRST, LAST - 1)
+
+
+def _fold(epoch: Column, wall: Column, zone: Column) -> Column:
+    """'skipped' for a wall time that its zone's clocks never showed, 'repeated' for one that they
+    showed twice (after a change by up to three hours), else NULL."""
+    local = lambda e: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(e), zone))
+    later = F.lit(False)
+    for step in (1_800, 3_600, 7_200, 10_800):
+        later = later | (local(epoch + step) == wall)
+    return F.when(local(epoch) != wall, "skipped").when(later, "repeated")
+
+
+def with_readings(values: DataFrame, folds: bool = False) -> DataFrame:
+    """Adds ``_all``, every valid reading of ``value``: ``array<struct<notation string, epoch_s bigint>>``,
+    those of an instant within 2008 to 2025.  ``zone`` is the IANA zone of wall times, NULL where there
+    is none; ``windows`` says whether counts from the Windows epoch may occur.  With ``folds`` a reading
+    has ``fold``, too (see :func:`_fold`).
+
+    One projection builds on the other, so that each step is compiled and evaluated once a value: how
+    the text begins rules most notations out, one match gives the groups, and these the readings."""
+    c = F.col
+    d = values.withColumn("_text", F.trim(F.regexp_replace("value", BLANK, " ")))
+    t = c("_text")
+    kind = (
+        F.when(t.rlike(r"^\+?\d+(?:\.\d*)?$"), F.when(F.length(t).isin(12, 14), "digits").otherwise("count"))
+        .when(t.rlike(r"^\d{4}[-:/.]"), "ymd")
+        .when(t.rlike(r"^\d{8}"), "compact")
+        .when(t.rlike(r"^\d{1,2}[-/.]\d"), "dmy")
+        .when(t.rlike(rf"(?i)^{WEEKDAY}\d"), "d_month_y")
+        .when(t.rlike(r"^[A-Za-z]"), "month_d_y")
+    )
+    d = d.withColumn("_kind", kind)
+
+    def groups(name: str) -> Column:
+        pattern, (iy, im, iday), time = WRITTEN[name]
+        # A text that doesn't match stays as it is, without the mark in front.
+        return F.regexp_replace(t, pattern, MARK + "|".join(f"${i}" for i in (iy, im, iday, *range(time, time + 9))))
+
+    hit = F.when(c("_kind").isin("digits", "compact"), groups("compact"))
+    for name in ("ymd", "dmy", "d_month_y", "month_d_y"):
+        hit = hit.when(c("_kind") == name, groups(name))
+    d = d.withColumn("_hit", hit)
+    # Year, month, day, hour, minute, second, half of the day, Z, sign, two parts of an offset, region.
+    d = d.withColumn("_g", F.when(F.startswith("_hit", F.lit(MARK)), F.split(F.substring("_hit", 2, 1_000_000), "\\|")))
+    g = c("_g")
+    whole = F.when(c("_kind").isin("digits", "count"), F.regexp_extract(t, r"^\+?(\d{1,19})(?:\.\d*)?$", 1).try_cast("bigint"))
+    numbers = {"_y": 0, "_d": 2, "_hour": 3, "_min": 4, "_sec": 5, "_oh": 9, "_om": 10}
+    month = F.when(c("_kind").isin("d_month_y", "month_d_y"), _month_number(g[1])).otherwise(_number(g[1]))
+    d = d.withColumns({n: _number(g[i]) for n, i in numbers.items()} | {"_m": month, "_half": F.lower(g[6]), "_whole": whole})
+
+    half = c("_half")
+    hour = F.when(half == "", c("_hour")).when(half == "a", c("_hour") % 12).otherwise(c("_hour") % 12 + 12)
+    timely = (c("_min") <= 59) & (c("_sec") <= 59) & F.when(half == "", c("_hour") <= 23).otherwise(c("_hour").between(1, 12)) & (c("_oh") <= 18) & (c("_om") <= 59)
+    day = lambda y, m, dd: F.when((y >= 1) & m.between(1, 12) & (dd >= 1) & (dd <= _month_length(y, m)), _days_since_1970(y, m, dd))
+    first = F.when(g.isNotNull() & timely, day(c("_y"), c("_m"), c("_d")))
+    second = F.when((c("_kind") == "dmy") & timely, day(c("_y"), c("_d"), c("_m")))
+    # A region counts only in the form Area/City; anything else in brackets is a comment.
+    region = F.when(g[11].rlike(r"^[A-Z][A-Za-z_]+/[A-Za-z_+/-]+\d*$"), g[11]).otherwise(c("zone"))
+    offset = F.when(g[8] != "", (c("_oh") * 3600 + c("_om") * 60) * F.when(g[8] == "-", -1).otherwise(1)).when(g[7] != "", 0)
+    time = hour * 3600 + c("_min") * 60 + c("_sec")
+    d = d.withColumns({"_wall1": first * 86_400 + time, "_wall2": second * 86_400 + time, "_offset": offset, "_at": F.when(offset.isNull(), region)})
+    epoch = lambda wall: F.coalesce(wall - c("_offset"), F.when(c("_at").isNotNull(), wall_to_epoch(wall, c("_at")))).cast("bigint")
+    counted = F.lit(None).cast("struct<notation:string,epoch_s:bigint>")
+    for name, unit in (UNIX_COUNTS | WINDOWS_COUNTS).items():
+        at = _count(c("_whole"), *unit)
+        ok = _in_years(at) & (c("windows") if name in WINDOWS_COUNTS else F.lit(True))
+        counted = F.coalesce(counted, F.when(ok, F.struct(F.lit(name).alias("notation"), at.alias("epoch_s"))))
+    d = d.withColumns({"_e1": epoch(c("_wall1")), "_e2": epoch(c("_wall2")), "_counted": counted})
+
+    def one(ok: Column, notation: Column, at: Column, wall: Column | None) -> Column:
+        fold = [(F.lit(None).cast("string") if wall is None else F.when(c("_at").isNotNull(), _fold(at, wall, c("_at")))).alias("fold")] if folds else []
+        entry = F.array(F.struct(notation.alias("notation"), at.alias("epoch_s"), *fold))
+        return F.when(F.coalesce(ok, F.lit(False)), entry).otherwise(F.array().cast(READINGS if folds else READINGS.replace(",fold:string", "")))
+
+    named = F.when(c("_kind") == "digits", "compact").otherwise(c("_kind"))
+    every = F.concat(
+        one(_in_years(c("_e1")), named, c("_e1"), c("_wall1")),
+        one(_in_years(c("_e2")), F.lit("mdy"), c("_e2"), c("_wall2")),
+        # The years bound a count to one unit.
+        one(c("_counted").isNotNull(), c("_counted.notation"), c("_counted.epoch_s"), None),
+    )
+    return d.select(*[c(x) for x in values.columns], every.alias("_all"))
 
 
 def root_zones(spark: SparkSession, roots: DataFrame, zones: DataFrame) -> DataFrame:
@@ -176,32 +200,26 @@ def with_zone(files: DataFrame, zones: DataFrame, path: str = "path", out: str =
     return files.join(best, files[path] == best["_p"], "left").drop("_p")
 
 
-def fit_mixtures(counts: list[tuple[str, tuple[str, ...], int]], rounds: int = 200) -> dict[tuple[str, tuple[str, ...]], tuple[str, float]]:
-    """Expectation-maximisation on (source, candidate notations, values); returns the likeliest
-    notation and its posterior by source and candidates.  Notations that no value of a source
-    distinguishes share their posterior equally, and so stay ambiguous."""
-    out: dict[tuple[str, tuple[str, ...]], tuple[str, float]] = {}
-    for source in {s for s, _, _ in counts}:
-        own = [(kinds, n) for s, kinds, n in counts if s == source and kinds]
-        names = sorted({k for kinds, _ in own for k in kinds})
-        weight = dict.fromkeys(names, 1 / max(1, len(names)))
-        for _ in range(rounds):
-            mass = dict.fromkeys(names, 0.0)
-            for kinds, n in own:
-                total = sum(weight[k] for k in kinds) or 1.0
-                for k in kinds:
-                    mass[k] += n * weight[k] / total
-            total = sum(mass.values()) or 1.0
-            new = {k: v / total for k, v in mass.items()}
-            moved = max((abs(new[k] - weight[k]) for k in names), default=0.0)
-            weight = new
-            if moved < 1e-9:
-                break
-        for kinds, _ in own:
+def fit_mixture(counts: dict[tuple[str, ...], int], rounds: int = 200) -> dict[tuple[str, ...], tuple[str, float]]:
+    """Expectation-maximisation on one source's numbers of values by candidate notations; the likeliest
+    notation and its posterior by candidates.  Notations that no value of the source distinguishes
+    share their posterior equally, and so stay ambiguous."""
+    names = sorted({k for kinds in counts for k in kinds})
+    weight = dict.fromkeys(names, 1 / max(1, len(names)))
+    for _ in range(rounds):
+        mass = dict.fromkeys(names, 0.0)
+        for kinds, n in counts.items():
             total = sum(weight[k] for k in kinds) or 1.0
-            best = max(kinds, key=lambda k: (weight[k], k))
-            out[source, kinds] = (best, weight[best] / total)
-    return out
+            for k in kinds:
+                mass[k] += n * weight[k] / total
+        total = sum(mass.values()) or 1.0
+        new = {k: v / total for k, v in mass.items()}
+        moved = max((abs(new[k] - weight[k]) for k in names), default=0.0)
+        weight = new
+        if moved < 1e-9:
+            break
+    best = {kinds: max(kinds, key=lambda k: (weight[k], k)) for kinds in counts}
+    return {kinds: (k, weight[k] / (sum(weight[x] for x in kinds) or 1.0)) for kinds, k in best.items()}
 
 
 def normalise(values: DataFrame, min_posterior: float = 0.9) -> DataFrame:
@@ -209,45 +227,48 @@ def normalise(values: DataFrame, min_posterior: float = 0.9) -> DataFrame:
 
     ``values`` has id bigint, source string, value string, zone string (of wall times without one)
     and windows boolean (whether counts from the Windows epoch may occur).  Result: id, source,
-    value, epoch_s (NULL if nothing fits or it is ambiguous), notation, posterior, ambiguous.  One
-    row for each row of the input: NULL, empty, blank, over-long and meaningless values come out
+    value, epoch_s (NULL if nothing fits or it is ambiguous), notation, posterior, ambiguous, fold.
+    ``fold`` is 'repeated' for a wall time that its zone's clocks showed twice (epoch_s is the earlier
+    one), 'skipped' for one they never showed (read with the offset before the change), else NULL.
+    One row for each row of the input: NULL, empty, blank, over-long and meaningless values come out
     with NULL epoch_s and ambiguous false; repeated rows stay repeated.  Readings by different
     notations that name the same instant are no ambiguity."""
-    read, several = _read(values)
-    chosen, posterior = _choice(several)
-    out = read.select("id", "source", "value", F.get(chosen, F.lit(0)).alias("_one"), posterior.alias("posterior"))
+    with staging(values.sparkSession, "instants") as area:
+        out = _chosen(area, values.select("id", "source", "value", "zone", "windows"), ["id", "source", "value"], folds=True)
     return out.select(
         "id", "source", "value",
         F.when(F.col("posterior") >= min_posterior, F.col("_one.epoch_s")).alias("epoch_s"),
         F.col("_one.notation").alias("notation"), "posterior",
-        F.coalesce(F.col("posterior") < min_posterior, F.lit(False)).alias("ambiguous"),
+        F.coalesce(F.col("posterior") < min_posterior, F.lit(False)).alias("ambiguous"), F.col("_one.fold").alias("fold"),
     )
 
 
-def _read(values: DataFrame) -> tuple[DataFrame, dict[tuple[str, tuple[str, ...]], tuple[str, float]]]:
-    """Values with their candidates (``_all``), and the fitted choice where there are several."""
-    v = values.select("id", "source", "value", "zone", "windows")
-    read = v.select("id", "source", "value", readings(F.col("value"), F.col("zone"), F.col("windows")).alias("_all"))
+def _chosen(area: Staging, values: DataFrame, keep: list[str], folds: bool = False) -> DataFrame:
+    """Values with ``_one``, the reading of the highest posterior (NULL without any), and ``posterior``.
+
+    Every value is parsed once, into a staged table.  Sources are fitted apart, each on its counts by
+    candidate set, whose number the notations bound; what was fitted meets the values that have
+    several candidates, if there are any."""
     # Readings that agree are one candidate, but no evidence for the first of their notations.
-    one = F.when(F.size(F.array_distinct(F.col("_all.epoch_s"))) == 1, F.slice("_all", 1, 1)).otherwise(F.coalesce("_all", F.array()))
-    # No filter on the candidates here: Spark would push it below and parse every value twice.
-    counts = read.groupBy("source", F.array_join(F.col("_all.notation"), ",").alias("kinds")).count().collect()
-    read = read.select("id", "source", "value", one.alias("_all"))
-    fitted = fit_mixtures([(r["source"], tuple(r["kinds"].split(",")), r["count"]) for r in counts if r["kinds"]])
-    return read, {k: p for k, p in fitted.items() if len(k[1]) > 1}
-
-
-def _choice(several: dict[tuple[str, tuple[str, ...]], tuple[str, float]]) -> tuple[Column, Column]:
-    """The candidates left by the fitted choice (one at most), and the posterior."""
-    alone = F.when(F.size("_all") > 0, 1.0)
-    if not several:
-        return F.col("_all"), alone
-    named = {f"{s}|{','.join(k)}": p for (s, k), p in several.items()}
-    pick = F.create_map(*[F.lit(x) for k, p in named.items() for x in (k, p[0])])
-    sure = F.create_map(*[F.lit(x) for k, p in named.items() for x in (k, float(p[1]))])
-    key = F.concat_ws("|", "source", F.array_join(F.col("_all.notation"), ","))
-    chosen = F.filter("_all", lambda x: x["notation"] == F.coalesce(F.element_at(pick, key), x["notation"]))
-    return chosen, F.coalesce(F.element_at(sure, key), alone)
+    agree = F.when(F.size("_all") <= 1, True).otherwise(F.size(F.array_distinct(F.col("_all.epoch_s"))) == 1)
+    read = with_readings(values, folds).select(*keep, "_all", F.when(agree, F.lit(None).cast("string")).otherwise(F.array_join(F.col("_all.notation"), ",")).alias("_several"))
+    read = area.write(read, several=F.count("_several"))
+    first = lambda d: d.select(*keep, F.get("_all", F.lit(0)).alias("_one"), F.when(F.size("_all") > 0, 1.0).alias("posterior"))
+    if not seen_in(read, "several"):
+        return first(read)
+    counts = read.groupBy("source", F.array_join(F.col("_all.notation"), ",").alias("kinds")).agg(F.count("*").alias("n")).filter("kinds <> ''")
+
+    def fit(own: pd.DataFrame) -> pd.DataFrame:
+        got = fit_mixture({tuple(k.split(",")): n for k, n in zip(own["kinds"], own["n"])})
+        rows = [(own["source"].iloc[0], ",".join(k), *p) for k, p in got.items() if len(k) > 1]
+        return pd.DataFrame(rows, columns=["source", "_several", "_pick", "_sure"])
+
+    fitted = area.write(counts.groupBy("source").applyInPandas(fit, "source string, _several string, _pick string, _sure double"))
+    open_ = read.filter("_several is not null")
+    key = F.concat_ws("\0", F.coalesce("source", F.lit("")), "_several")
+    met = lookup(open_.withColumn("_k", key), fitted.withColumn("_k", key).select("_k", "_pick", "_sure"), "_k", seen_in(read, "several"))
+    chosen = F.get(F.filter("_all", lambda x: x["notation"] == F.col("_pick")), F.lit(0))
+    return first(read.filter("_several is null")).unionByName(met.select(*keep, chosen.alias("_one"), F.col("_sure").alias("posterior")))
 
 
 #: The timestamp fields of a catalogue: whose zone a wall time without one has.
@@ -266,8 +287,8 @@ def catalogue_values(files: DataFrame, roots: DataFrame, zones: DataFrame) -> Da
 
 def catalogue_instants(files: DataFrame, roots: DataFrame, zones: DataFrame, min_posterior: float = 0.9) -> DataFrame:
     """(file_id, field, epoch_s): the instant of every timestamp field that denotes one."""
-    read, several = _read(catalogue_values(files, roots, zones))
-    chosen, posterior = _choice(several)
-    # An explode drops what has no instant without a filter that would repeat the parsing.
-    kept = F.when(posterior >= min_posterior, chosen).otherwise(F.array().cast("array<struct<notation:string,epoch_s:bigint>>"))
-    return read.select(F.col("id").alias("file_id"), F.col("source").alias("field"), F.explode(kept).alias("_one")).select("file_id", "field", "_one.epoch_s")
+    with staging(files.sparkSession, "instants") as area:
+        out = _chosen(area, catalogue_values(files, roots, zones), ["id", "source"])
+    # An explode drops what has no instant.
+    kept = F.when(F.col("posterior") >= min_posterior, F.array("_one")).otherwise(F.array().cast("array<struct<notation:string,epoch_s:bigint>>"))
+    return out.select(F.col("id").alias("file_id"), F.col("source").alias("field"), F.explode(kept).alias("_one")).select("file_id", "field", "_one.epoch_s")
