@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.paths import ancestors, folded
 from pixelloom.functions.skew import lookup
-from pixelloom.session import Staging, seen_in, staging
+from pixelloom.session import Staging, seen_in, settings, staging
 
 FIRST, LAST = 1_199_145_600, 1_767_225_600  # 2008-01-01 and 2026-01-01, in seconds since 1970
 #: Roots up to this many go into the plan as a literal map; more are joined.
@@ -54,8 +54,9 @@ WINDOWS_COUNTS = {"windows_100ns": (10_000_000, WINDOWS_TO_UNIX_S)}
 
 
 def _number(text: Column) -> Column:
-    """An integer of a matched group; 0 for an empty one."""
-    return F.coalesce(text.try_cast("bigint"), F.lit(0))
+    """An integer of a matched group of digits; 0 for an empty one, which is never cast: a cast that
+    fails costs more than everything else."""
+    return F.when(text != "", text.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
 def _days_since_1970(y: Column, m: Column, d: Column) -> Column:
@@ -73,8 +74,7 @@ def _month_length(y: Column, m: Column) -> Column:
 
 
 def _month_number(word: Column) -> Column:
-    found = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.lower(word), 1, 3))
-    return F.coalesce(word.try_cast("bigint"), found)
+    return F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.lower(word), 1, 3))
 
 
 def wall_to_epoch(wall_s: Column, zone: Column) -> Column:
@@ -135,7 +135,8 @@ def with_readings(values: DataFrame, folds: bool = False) -> DataFrame:
     # Year, month, day, hour, minute, second, half of the day, Z, sign, two parts of an offset, region.
     d = d.withColumn("_g", F.when(F.startswith("_hit", F.lit(MARK)), F.split(F.substring("_hit", 2, 1_000_000), "\\|")))
     g = c("_g")
-    whole = F.when(c("_kind").isin("digits", "count"), F.regexp_extract(t, r"^\+?(\d{1,19})(?:\.\d*)?$", 1).try_cast("bigint"))
+    whole = F.regexp_extract(t, r"^\+?(\d{1,19})(?:\.\d*)?$", 1)
+    whole = F.when(c("_kind").isin("digits", "count") & (whole != ""), whole.try_cast("bigint"))
     numbers = {"_y": 0, "_d": 2, "_hour": 3, "_min": 4, "_sec": 5, "_oh": 9, "_om": 10}
     month = F.when(c("_kind").isin("d_month_y", "month_d_y"), _month_number(g[1])).otherwise(_number(g[1]))
     d = d.withColumns({n: _number(g[i]) for n, i in numbers.items()} | {"_m": month, "_half": F.lower(g[6]), "_whole": whole})
@@ -252,7 +253,9 @@ def _chosen(area: Staging, values: DataFrame, keep: list[str], folds: bool = Fal
     # Readings that agree are one candidate, but no evidence for the first of their notations.
     agree = F.when(F.size("_all") <= 1, True).otherwise(F.size(F.array_distinct(F.col("_all.epoch_s"))) == 1)
     read = with_readings(values, folds).select(*keep, "_all", F.when(agree, F.lit(None).cast("string")).otherwise(F.array_join(F.col("_all.notation"), ",")).alias("_several"))
-    read = area.write(read, several=F.count("_several"))
+    # One method for the whole chain would be too large for the JVM to compile; projections are split.
+    with settings(area.spark, **{"spark.sql.codegen.hugeMethodLimit": "8000"}):
+        read = area.write(read, several=F.count("_several"))
     first = lambda d: d.select(*keep, F.get("_all", F.lit(0)).alias("_one"), F.when(F.size("_all") > 0, 1.0).alias("posterior"))
     if not seen_in(read, "several"):
         return first(read)

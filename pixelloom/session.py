@@ -99,6 +99,19 @@ def staging(spark: SparkSession, purpose: str) -> Iterator[Staging]:
         raise
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """SQL settings for the block, then as they were before."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @contextmanager
 def progress(spark: SparkSession, report: Callable[[int, int], None], seconds: float = 1.0) -> Iterator[None]:
     """Reports (done, total) tasks of the running stages every so often while the block runs, and once
