@@ -1,8 +1,8 @@
 """A mix of sources by target shares of tokens, with capped repetition (problem 8).
 
-Shares are set by temperature: token shares of the sources, or given weights against them, are
-exponentiated and normalised, and the exponent is bisected to meet a target entropy or a repetition
-limit.  A source's share of the budget is then realised as whole passes over its documents and one
+Shares are set by temperature: token shares of the sources, or what the sources can supply against
+given weights, are exponentiated and normalised, and the exponent is bisected to meet a target
+entropy or the repetition limits.  A source's share of the budget is then realised as whole passes over its documents and one
 partial pass: documents are permuted by hash into blocks, whole blocks are taken while they fit,
 and the block at the edge of the budget is filled document by document.  Only that block, whose
 size is bounded, is looked at in order; nothing sorts or collects a source.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pixelloom.llm.bpe import token_counts
 from pixelloom.session import Staging, staging
 
-#: Documents in a block, and the most blocks of a source.
-BLOCK_DOCS, MAX_BLOCKS = 2_000, 65_536
+#: Documents in a block.
+BLOCK_DOCS = 2_000
 
 
 def folded_source(c: Column) -> Column:
@@ -73,6 +73,8 @@ class SourcePlan:
     tokens: int
     max_repeats: int
     budget: int = 0
+    exponent: float = 1.0
+    limiting: bool = False
 
     @property
     def passes(self) -> int:
@@ -84,30 +86,35 @@ class SourcePlan:
 
     @property
     def blocks(self) -> int:
-        return max(1, min(MAX_BLOCKS, -(-self.docs // BLOCK_DOCS)))
+        return max(1, -(-self.docs // BLOCK_DOCS))
+
+
+def towards(weight: dict[str, float], supply: dict[str, float], exponent: float) -> dict[str, float]:
+    """Shares of what the sources can supply, each drawn to its target by an exponent: at 0 the sources
+    are used in proportion to their tokens and repeats, at 1 the shares are the target weights."""
+    most = sum(supply.values())
+    return tempered({s: (supply[s] / most) * ((weight[s] * most) / supply[s]) ** exponent for s in supply}, 1.0)
 
 
 def budgets(plans: list[SourcePlan], total: int | None = None) -> list[SourcePlan]:
-    """Token budgets in proportion to the weights of the sources that have tokens and may be used.
+    """Token budgets at the bisected exponent: the one nearest to the target weights (1) at which no
+    source of a mix of ``total`` tokens exceeds its repeats.
 
-    Without ``total`` the largest mix that keeps every share within the repetition limits.  With a
-    total beyond that, weights move from the given ones (exponent 1) towards what the sources can
-    supply (exponent 0), as little as the limits ask for; a total beyond all supply is cut to it."""
+    Without ``total`` the mix is as large as the target weights allow, which the source that runs out
+    first sets (``limiting``).  A total beyond all supply is cut to it, and takes the exponent to 0.
+    Sources without tokens, weight or repeats have no budget."""
     can = [p for p in plans if p.weight > 0 and p.tokens > 0 and p.max_repeats > 0]
     if not can:
         return plans
     weight = tempered({p.source: p.weight for p in can}, 1.0)
     supply = {p.source: p.max_repeats * p.tokens for p in can}
-    most = min(supply[s] / weight[s] for s in supply)
-    if total is None or total <= most:
-        size = most if total is None else total
-    else:
-        size = min(total, sum(supply.values()))
-        even = {s: supply[s] / sum(supply.values()) for s in supply}
-        blend = lambda x: tempered({s: math.exp((1 - x) * math.log(weight[s]) + x * math.log(even[s])) for s in supply}, 1.0)
-        weight = blend(bisect(lambda x: all(blend(x)[s] * size <= supply[s] * (1 + 1e-9) for s in supply), 0.0, 1.0))
+    size = min(supply[s] / weight[s] for s in supply) if total is None else min(total, sum(supply.values()))
+    within = lambda away: all(w * size <= supply[s] * (1 + 1e-9) for s, w in towards(weight, supply, 1 - away).items())
+    exponent = 1 - bisect(within, 0.0, 1.0)
+    share = towards(weight, supply, exponent)
+    first = min(share, key=lambda s: (supply[s] / share[s], s))
     for p in can:
-        p.budget = min(int(weight[p.source] * size), supply[p.source])
+        p.budget, p.exponent, p.limiting = min(int(share[p.source] * size + 1e-6), supply[p.source]), exponent, p.source == first
     return plans
 
 
@@ -142,7 +149,7 @@ def realise(counted: DataFrame, plans: list[SourcePlan], seed: int = 0) -> DataF
     docs = counted.filter("n_tokens > 0 and doc_id is not null").join(F.broadcast(shape), "source")
     docs = docs.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks")))
     sums = docs.groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("tokens"))
-    # At most MAX_BLOCKS rows a source.
+    # One row for each BLOCK_DOCS documents of a source.
     up_to = F.sum("tokens").over(W.partitionBy("source").orderBy("block"))
     sums = sums.withColumn("_to", up_to).select("source", "block", (F.col("_to") <= F.col("rest")).alias("whole"), (F.col("rest") - F.col("_to") + F.col("tokens")).alias("free"))
     edge = sums.filter("not whole").groupBy("source").agg(F.min("block").alias("block"), F.min_by("free", "block").alias("free"))
@@ -177,14 +184,15 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, **to
 
 def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, **tokenizer: str) -> DataFrame:
     """One row for each target: source, target_share, actual_share, tokens (available), used_tokens,
-    used_docs, most_repeats.  A target without documents has an actual share of 0; the others keep
-    their proportions to each other."""
+    used_docs, most_repeats, exponent (that the mix was made at; 1: the target weights) and limiting
+    (whether this source's repeats bound the mix).  A target without documents has an actual share of
+    0; the others keep their proportions to each other."""
     mixed, _, plans = mix_plan(documents, targets, total, **tokenizer)
     spark = documents.sparkSession
-    want = spark.createDataFrame([(p.source, p.weight, p.tokens) for p in plans], "source string, target_share double, tokens bigint")
+    want = spark.createDataFrame([(p.source, p.weight, p.tokens, p.exponent, p.limiting) for p in plans], "source string, target_share double, tokens bigint, exponent double, limiting boolean")
     got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"), F.count("*").alias("used_docs"), F.max("repeats").alias("most_repeats"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    out = want.join(F.broadcast(got), "source", "left").select("source", "target_share", "tokens", zero("used_tokens"), zero("used_docs"), zero("most_repeats"))
+    out = want.join(F.broadcast(got), "source", "left").select("source", "target_share", "tokens", "exponent", "limiting", zero("used_tokens"), zero("used_docs"), zero("most_repeats"))
     # One row for each target, so one partition.
     return out.withColumn("actual_share", F.coalesce(F.col("used_tokens") / F.sum("used_tokens").over(W.partitionBy(F.lit(0))), F.lit(0.0)))
 

@@ -113,7 +113,18 @@ def test_a_total_beyond_the_limits_bends_the_weights():
     plans = [mixing.SourcePlan("a", 0.9, 10, 100, 1), mixing.SourcePlan("b", 0.1, 10, 1000, 1)]
     mixing.budgets(plans, 500)
     assert plans[0].budget <= 100 and sum(p.budget for p in plans) >= 495
-    assert [p.budget for p in mixing.budgets([mixing.SourcePlan("a", 0.5, 1, 100, 2), mixing.SourcePlan("b", 0.5, 1, 1000, 1)])] == [200, 200]
+    # The exponent is the nearest to the targets that the repeats allow: a source is just used up.
+    assert 0 < plans[0].exponent < 1 and plans[0].budget >= 99 and plans[0].limiting and not plans[1].limiting
+    same = mixing.budgets([mixing.SourcePlan("a", 0.5, 1, 100, 2), mixing.SourcePlan("b", 0.5, 1, 1000, 1)])
+    assert [p.budget for p in same] == [200, 200] and same[0].limiting and same[0].exponent == 1
+    all_ = mixing.budgets([mixing.SourcePlan("a", 0.5, 1, 100, 2), mixing.SourcePlan("b", 0.5, 1, 1000, 1)], 10**9)
+    assert [p.budget for p in all_] == [200, 1000] and all_[0].exponent < 1e-9
+
+
+def test_weights_come_from_the_bisected_exponent(monkeypatch):
+    monkeypatch.setattr(mixing, "bisect", lambda falls, low, high: 0.5)
+    plans = mixing.budgets([mixing.SourcePlan("a", 0.9, 1, 100, 1), mixing.SourcePlan("b", 0.1, 1, 100, 1)], 100)
+    assert [p.exponent for p in plans] == [0.5, 0.5] and [p.budget for p in plans] == [75, 25]
 
 
 # ------------------------------------------------------------------ subjects
