@@ -19,6 +19,7 @@ labelled documents (``Settings.train_docs``); the fitted table is then applied t
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -127,81 +128,77 @@ def decide(total: np.ndarray, letters: np.ndarray, threshold: np.ndarray) -> np.
 
 
 class _Counts:
-    """Class counts of n-grams over the training sentences, as arrays over distinct n-grams."""
+    """N-grams of training sentences as arrays over distinct ones: each position's n-gram of the highest
+    order, and for each distinct n-gram its suffix and its context among those one letter shorter.
+    Counts of lower orders and of contexts follow from those of the highest order."""
 
     def __init__(self, parts: list[str]):
-        codes, self.of, letter = _chars(parts)
+        codes, of, letter = _chars(parts)
         hashed = grams(codes)
         at = np.flatnonzero(letter)
-        self.sentence = self.of[at]
-        self.key, self.ident, self.context = {}, {}, {}
-        for n in range(1, ORDER + 1):
-            self.key[n], ident = np.unique(hashed[n][at], return_inverse=True)
-            self.ident[n] = ident.astype(np.int32)
+        self.sentence = of[at]
+        self.key, self.low, self.context, self.contexts = {}, {}, {}, {}
+        place = at
+        for n in range(ORDER, 0, -1):
+            self.key[n], first, ident = np.unique(hashed[n][place], return_index=True, return_inverse=True)
+            if n == ORDER:
+                self.ident = ident.astype(np.int32)
+            else:
+                self.low[n + 1] = ident.astype(np.int32)
+            place = place[first]  # a position of each distinct n-gram
             if n > 1:
-                self.context[n] = np.unique(hashed[n - 1][at - 1], return_inverse=True)[1].astype(np.int32)
-        self.first = {n: self._firsts(n) for n in range(1, ORDER + 1)}
-        del hashed
-
-    def _firsts(self, n: int) -> np.ndarray:
-        """A position of each distinct n-gram, where its context and lower orders can be read."""
-        first = np.empty(len(self.key[n]), np.int64)
-        first[self.ident[n][::-1]] = np.arange(len(self.ident[n]))[::-1]
-        return first
-
-    def log_models(self, weight: np.ndarray, cfg: Settings) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
-        """For sentence weights by class (sentences, classes; the last is none of them): per order the
-        counts of each n-gram and the log ratio of class to its background."""
+                found, context = np.unique(hashed[n - 1][place - 1], return_inverse=True)
+                self.context[n], self.contexts[n] = context.astype(np.int32), len(found)
+
+    def log_models(self, weight: np.ndarray, own: np.ndarray, cfg: Settings) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+        """For sentence weights by class (sentences, classes; the last is none of them), over the
+        positions ``own``: per order the counts of each n-gram and the log ratio of class to its
+        background."""
         classes = weight.shape[1]
-        size = {n: int(self.context[n].max(initial=-1)) + 1 for n in range(2, ORDER + 1)}
-        subject = {n: np.empty((len(self.key[n]), classes)) for n in range(1, ORDER + 1)}
-        contexts = {n: np.empty((size[n], classes)) for n in range(2, ORDER + 1)}
-        for c in range(classes):
-            w = weight[self.sentence, c]
-            for n in range(1, ORDER + 1):
-                subject[n][:, c] = np.bincount(self.ident[n], w, len(self.key[n]))
-                if n > 1:
-                    contexts[n][:, c] = np.bincount(self.context[n], w, size[n])
-        p_rest: np.ndarray | None = None
-        p_own: np.ndarray | None = None
+        sums = lambda at, values, size: np.stack([np.bincount(at, values[:, c], size) for c in range(classes)], 1)
+        ident, sentence = self.ident[own], self.sentence[own]
+        subject = {ORDER: np.stack([np.bincount(ident, weight[sentence, c], len(self.key[ORDER])) for c in range(classes)], 1)}
+        for n in range(ORDER, 1, -1):
+            subject[n - 1] = sums(self.low[n], subject[n], len(self.key[n - 1]))
         ratio = {}
         for n in range(1, ORDER + 1):
-            own = subject[n]
-            rest = own.sum(1, keepdims=True) - own
+            mine = subject[n]
+            rest = mine.sum(1, keepdims=True) - mine
             if n == 1:
                 base = 1.0 / max(1, len(self.key[1]))
                 p_rest = (rest + cfg.pull[1] * base) / (rest.sum(0) + cfg.pull[1])
-                p_own = (own + cfg.subject_pull * p_rest) / (own.sum(0) + cfg.subject_pull)
+                p_own = (mine + cfg.subject_pull * p_rest) / (mine.sum(0) + cfg.subject_pull)
             else:
-                c_own = contexts[n]
+                c_own = sums(self.context[n], mine, self.contexts[n])
                 c_rest = c_own.sum(1, keepdims=True) - c_own
-                at = self.first[n]
-                ctx, low = self.context[n][at], self.ident[n - 1][at]
+                ctx, low = self.context[n], self.low[n]
                 lower_rest, lower_own = p_rest[low], p_own[low]
                 p_rest = (rest + cfg.pull[n] * lower_rest) / (c_rest[ctx] + cfg.pull[n])
                 # Drawn both to its own lower order and to the background's estimate.
                 drawn = np.sqrt(lower_own / np.maximum(lower_rest, 1e-12)) * p_rest
-                p_own = (own + cfg.subject_pull * np.minimum(drawn, 1.0)) / (c_own[ctx] + cfg.subject_pull)
+                p_own = (mine + cfg.subject_pull * np.minimum(drawn, 1.0)) / (c_own[ctx] + cfg.subject_pull)
             ratio[n] = np.log(np.maximum(p_own, 1e-9)) - np.log(np.maximum(p_rest, 1e-9))
         return subject, ratio
 
 
-def _fit_models(parts: list[str], doc: np.ndarray, allowed: np.ndarray, names: list[str], cfg: Settings) -> SubjectModel:
-    """EM over sentences: ``doc`` is each sentence's document, ``allowed`` (documents, subjects) its labels."""
-    counts = _Counts(parts)
-    may = np.concatenate([allowed[doc], np.ones((len(parts), 1), bool)], axis=1)
+def _fit_models(counts: _Counts, doc: np.ndarray, mine: np.ndarray, allowed: np.ndarray, names: list[str], cfg: Settings) -> SubjectModel:
+    """EM over the sentences ``mine`` (a mask): ``doc`` is each sentence's document, ``allowed``
+    (documents, subjects) its labels."""
+    may = np.concatenate([allowed[doc], np.ones((len(doc), 1), bool)], axis=1)
     # What recurs under every subject is filler: to start from, a sentence is none's by half.
     # A document speaks with the root of its length, so that a long one doesn't make a model alone.
-    share = 2 / np.sqrt(np.bincount(doc, minlength=len(allowed)))[doc]
+    share = mine * 2 / np.sqrt(np.maximum(np.bincount(doc, minlength=len(allowed)), 1))[doc]
     weight = may * np.r_[np.ones(len(names)), cfg.first_nothing]
     weight *= share[:, None] / weight.sum(1, keepdims=True)
+    own = np.flatnonzero(mine[counts.sentence])
+    ident, sentence = counts.ident[own], counts.sentence[own]
     for turn in range(cfg.rounds + 1):
-        count, ratio = counts.log_models(weight, cfg)
+        count, ratio = counts.log_models(weight, own, cfg)
         if turn == cfg.rounds:
             break
         # Against its own background each class has one likelihood ratio; none of them is at 0.
-        total = np.stack([np.bincount(counts.sentence, ratio[ORDER][counts.ident[ORDER], c], len(parts)) for c in range(len(names))], 1)
-        score = np.concatenate([total, np.full((len(parts), 1), cfg.nothing - (3.0 if turn < 2 else 0.0))], axis=1)
+        total = np.stack([np.bincount(sentence, ratio[ORDER][:, c][ident], len(doc)) for c in range(len(names))], 1)
+        score = np.concatenate([total, np.full((len(doc), 1), cfg.nothing - (3.0 if turn < 2 else 0.0))], axis=1)
         score = np.where(may, score, -np.inf)
         score -= score.max(1, keepdims=True)
         weight = np.exp(np.maximum(score / 2, -30.0)) * may
@@ -237,10 +234,12 @@ def fit(texts: list[str], labels: list[set[str]], names: list[str], cfg: Setting
         return SubjectModel(names, {n: np.empty(0, np.uint64) for n in range(LOWEST, ORDER + 1)}, {n: np.empty((0, len(names)), np.float32) for n in range(LOWEST, ORDER + 1)}, np.full(len(names), np.inf))
     grid = np.arange(1.0, 12.1, 0.5)
     hits = np.zeros((3, len(grid), len(names)))
+    counts = _Counts(parts)
+    # Copies of a text share a half.
+    halves = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % 2 for t in texts])
     for half in (0, 1):
-        # Interleaved halves; a copy of a text may fall into both, which only sharpens its own count.
-        own = doc % 2 == half
-        model = _fit_models([p for p, o in zip(parts, own) if o], doc[own], allowed, names, cfg)
+        own = halves[doc] == half
+        model = _fit_models(counts, doc, own, allowed, names, cfg)
         held = [p for p, o in zip(parts, own) if not o]
         if not held:
             continue
@@ -258,7 +257,7 @@ def fit(texts: list[str], labels: list[set[str]], names: list[str], cfg: Setting
     score = 2 * hits[0] / np.maximum(2 * hits[0] + hits[1] + hits[2], 1)
     # Of the thresholds within a small step of the best, the middle one: the peak is flat.
     best = score >= score.max(0) - 0.002
-    final = _fit_models(parts, doc, allowed, names, cfg)
+    final = _fit_models(counts, doc, np.ones(len(doc), bool), allowed, names, cfg)
     final.threshold = np.array([np.median(grid[best[:, c]]) for c in range(len(names))])
     return final
 
