@@ -18,6 +18,7 @@ labelled documents (``Settings.train_docs``); the fitted table is then applied t
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -25,17 +26,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 6
 LOWEST = 3
 #: A sentence ends at its mark, unless a digit or a further mark follows, or at a line's end.
-_END = regex.compile(r"(?<=[.!?…。！？])[\"'”»)\]]*(?=[^\d.!?…。！？\"'”»)\]]|$)|[\r\n]+")
-_OTHER = regex.compile(r"[^\p{L}]+")
+_END = re.compile(r"[.!?…。！？][\"'”»)\]]*(?=[^\d.!?…。！？\"'”»)\]]|$)")
 _SEED = np.uint64(0x9E3779B97F4A7C15)
-_PAD = "\x01" * (ORDER - 1)
+PAD = 1  # stands before a sentence's first letter
+
+
+def letter_table() -> np.ndarray:
+    """Whether a code point is a letter; worked out once and shipped with a model."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 @dataclass
@@ -55,10 +59,28 @@ class Settings:
     first_nothing: float = 0.1
 
 
+def encoded(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of all sentences of some texts as code points, each sentence after ORDER - 1 pads;
+    the sentence of each position, and each sentence's text.  Sentences without a letter are left out."""
+    # A sentence's end becomes a line's end; lines are then told apart as arrays.
+    marked = [_END.sub("\n", unicodedata.normalize("NFKD", t).casefold()) + "\n" for t in texts]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    line = np.cumsum((codes == 10) | (codes == 13))
+    at = np.flatnonzero(letters[codes])
+    if not len(at):
+        return np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+    fresh = np.r_[True, np.diff(line[at]) != 0]
+    of = np.cumsum(fresh) - 1
+    doc = np.searchsorted(np.cumsum([len(m) for m in marked]), at[fresh], side="right")
+    out = np.full(len(at) + (ORDER - 1) * len(doc), PAD, np.uint32)
+    out[np.arange(len(at)) + (ORDER - 1) * (of + 1)] = codes[at]
+    return out, np.repeat(np.arange(len(doc)), np.bincount(of) + ORDER - 1), doc
+
+
 def sentences(text: str) -> list[str]:
     """The letters of each sentence of a text, those without a letter left out."""
-    text = unicodedata.normalize("NFKD", text).casefold()
-    return [s for part in _END.split(text) if part and (s := _OTHER.sub("", part))]
+    codes, of, doc = encoded([text], letter_table())
+    return ["".join(map(chr, codes[(of == i) & (codes != PAD)])) for i in range(len(doc))]
 
 
 def grams(codes: np.ndarray) -> list[np.ndarray]:
@@ -77,15 +99,6 @@ def grams(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _chars(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of sentences, each after its padding; the sentence of each position, and which
-    positions are letters."""
-    joined = "".join(_PAD + p for p in parts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter((len(p) for p in parts), np.int64, len(parts)) + ORDER - 1
-    return codes, np.repeat(np.arange(len(parts)), sizes), codes != 1
-
-
 @dataclass
 class SubjectModel:
     """What applying needs: per n-gram hash the log ratio of subject to background, and thresholds."""
@@ -94,10 +107,11 @@ class SubjectModel:
     keys: dict[int, np.ndarray] = field(default_factory=dict)
     ratios: dict[int, np.ndarray] = field(default_factory=dict)
     threshold: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    letters: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
-    def scores(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each sentence the total log ratio by subject, and its letters."""
-        codes, of, letter = _chars(parts)
+    def scores(self, codes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each sentence (see :func:`encoded`) the total log ratio by subject, and its letters."""
+        letter = codes != PAD
         hashed = grams(codes)
         n = len(codes)
         value = np.zeros((n, len(self.subjects)), np.float32)
@@ -112,7 +126,7 @@ class SubjectModel:
             value[open_[hit]] = self.ratios[order][at[hit]]
             open_ = open_[~hit]
         first = np.flatnonzero(np.r_[True, np.diff(of) != 0]) if n else np.empty(0, np.int64)
-        return np.add.reduceat(value, first, axis=0) if n else value, np.bincount(of[letter], minlength=len(parts))
+        return np.add.reduceat(value, first, axis=0) if n else value, np.bincount(of[letter], minlength=len(first))
 
 
 def decide(total: np.ndarray, letters: np.ndarray, threshold: np.ndarray) -> np.ndarray:
@@ -132,10 +146,9 @@ class _Counts:
     order, and for each distinct n-gram its suffix and its context among those one letter shorter.
     Counts of lower orders and of contexts follow from those of the highest order."""
 
-    def __init__(self, parts: list[str]):
-        codes, of, letter = _chars(parts)
+    def __init__(self, codes: np.ndarray, of: np.ndarray):
         hashed = grams(codes)
-        at = np.flatnonzero(letter)
+        at = np.flatnonzero(codes != PAD)
         self.sentence = of[at]
         self.key, self.low, self.context, self.contexts = {}, {}, {}, {}
         place = at
@@ -212,9 +225,11 @@ def _fit_models(counts: _Counts, doc: np.ndarray, mine: np.ndarray, allowed: np.
     return model
 
 
-def _document_counts(model: SubjectModel, parts: list[str], doc: np.ndarray, docs: int, threshold: np.ndarray) -> np.ndarray:
-    """Sentences about each subject, by document."""
-    total, letters = model.scores(parts)
+def _document_counts(model: SubjectModel, texts: list[str], threshold: np.ndarray) -> np.ndarray:
+    """Sentences about each subject, by text."""
+    codes, of, doc = encoded(texts, model.letters)
+    docs = len(texts)
+    total, letters = model.scores(codes, of)
     subject = decide(total, letters, threshold)
     out = np.zeros((docs, len(model.subjects)), np.int64)
     ok = subject >= 0
@@ -226,24 +241,23 @@ def fit(texts: list[str], labels: list[set[str]], names: list[str], cfg: Setting
     """Models and thresholds from labelled texts.  Thresholds come from two halves, each scored by
     models fitted on the other, and serve the models fitted on both."""
     cfg = cfg or Settings()
-    split = [sentences(t) for t in texts]
-    doc = np.repeat(np.arange(len(texts)), [len(s) for s in split])
-    parts = [s for own in split for s in own]
+    letters_of = letter_table()
+    codes, of, doc = encoded(texts, letters_of)
     allowed = np.array([[n in own for n in names] for own in labels], bool).reshape(len(texts), len(names))
-    if not parts:
-        return SubjectModel(names, {n: np.empty(0, np.uint64) for n in range(LOWEST, ORDER + 1)}, {n: np.empty((0, len(names)), np.float32) for n in range(LOWEST, ORDER + 1)}, np.full(len(names), np.inf))
+    if not len(doc):
+        return SubjectModel(names, {n: np.empty(0, np.uint64) for n in range(LOWEST, ORDER + 1)}, {n: np.empty((0, len(names)), np.float32) for n in range(LOWEST, ORDER + 1)}, np.full(len(names), np.inf), letters_of)
     grid = np.arange(1.0, 12.1, 0.5)
     hits = np.zeros((3, len(grid), len(names)))
-    counts = _Counts(parts)
+    counts = _Counts(codes, of)
     # Copies of a text share a half.
     halves = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % 2 for t in texts])
     for half in (0, 1):
         own = halves[doc] == half
         model = _fit_models(counts, doc, own, allowed, names, cfg)
-        held = [p for p, o in zip(parts, own) if not o]
-        if not held:
+        if own.all():
             continue
-        total, letters = model.scores(held)
+        held = ~own[of]
+        total, letters = model.scores(codes[held], np.unique(of[held], return_inverse=True)[1])
         seen = np.unique(doc[~own])
         for g, t in enumerate(grid):
             subject = decide(total, letters, np.full(len(names), t))
@@ -259,6 +273,7 @@ def fit(texts: list[str], labels: list[set[str]], names: list[str], cfg: Setting
     best = score >= score.max(0) - 0.002
     final = _fit_models(counts, doc, np.ones(len(doc), bool), allowed, names, cfg)
     final.threshold = np.array([np.median(grid[best[:, c]]) for c in range(len(names))])
+    final.letters = letters_of
     return final
 
 
@@ -285,7 +300,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     cfg = cfg or Settings()
     model = fit(*training_sample(documents, labels, subjects, cfg), cfg)
     # Bounded by the sample: a few dozen MB of n-gram ratios.
-    shipped = documents.sparkSession.sparkContext.broadcast((model.subjects, model.keys, model.ratios, model.threshold))
+    shipped = documents.sparkSession.sparkContext.broadcast((model.subjects, model.keys, model.ratios, model.threshold, model.letters))
     need = cfg.sentences
     d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -293,8 +308,8 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
         model = SubjectModel(*shipped.value)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for rows, parts, doc in _pieces(batch.column(1)):
-                got = _document_counts(model, parts, doc, len(rows), model.threshold) if parts else np.zeros((0, len(model.subjects)), np.int64)
+            for rows, texts in _pieces(batch.column(1)):
+                got = _document_counts(model, texts, model.threshold)
                 r, c = np.nonzero(got >= need)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[rows[i]] for i in r], pa.int64()), pa.array([model.subjects[i] for i in c], pa.string()), pa.array(got[r, c], pa.int64())], names=["doc_id", "subject", "n_sentences"])
 
@@ -306,24 +321,19 @@ def _spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
-def _pieces(texts: pa.Array, letters: int = 300_000) -> Iterator[tuple[list[int], list[str], np.ndarray]]:
+def _pieces(texts: pa.Array, letters: int = 300_000) -> Iterator[tuple[list[int], list[str]]]:
     """Whole documents in pieces of about so many letters, which bounds the arrays of a step: row
-    numbers, sentences, and each sentence's place among the rows."""
+    numbers and texts."""
     rows: list[int] = []
-    parts: list[str] = []
-    doc: list[int] = []
     size = 0
-    for i in range(len(texts)):
-        text = texts[i].as_py()
+    every = texts.to_pylist()
+    for i, text in enumerate(every):
         if not text:
             continue
-        own = sentences(text)
         rows.append(i)
-        parts += own
-        doc += [len(rows) - 1] * len(own)
-        size += sum(map(len, own))
+        size += len(text)
         if size > letters:
-            yield rows, parts, np.array(doc, np.int64)
-            rows, parts, doc, size = [], [], [], 0
+            yield rows, [every[i] for i in rows]
+            rows, size = [], 0
     if rows:
-        yield rows, parts, np.array(doc, np.int64)
+        yield rows, [every[i] for i in rows]
