@@ -38,16 +38,17 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-def _print_report(report, members, limit: int = 50) -> None:
-    """A report's totals and its first groups; the driver sees no more of it."""
+def _print_report(report, members) -> None:
+    """A report's totals, and its groups with their members, a partition at a time."""
     t = duplicates.reclaimable(report).first()
     print(f"{t['groups']} groups, {t['wasted_bytes'] / 1_048_576:.1f} MB reclaimable")
-    top = report.limit(limit)
-    for g in top.collect():
-        print(f"group {g['group_id']}: {g['n_files']} files, {g['wasted_bytes'] / 1_048_576:.1f} MB")
-    ranked = duplicates.ranked_members(members.join(F.broadcast(top.select("group_id")), "group_id")).filter("rank <= 20")
-    for r in ranked.orderBy("group_id", "rank").limit(20 * limit).collect():
-        print(f"  {r['group_id']} {r['path']} ({(r['size'] or 0) / 1_048_576:.1f} MB)")
+    rows = duplicates.ranked_members(members).join(report.select("group_id", "n_files", "wasted_bytes"), "group_id")
+    last = None
+    for r in rows.orderBy(F.desc("wasted_bytes"), "group_id", "rank").toLocalIterator():
+        if r["group_id"] != last:
+            last = r["group_id"]
+            print(f"group {last}: {r['n_files']} files, {r['wasted_bytes'] / 1_048_576:.1f} MB")
+        print(f"  {r['path']} ({(r['size'] or 0) / 1_048_576:.1f} MB)")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -64,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.apply:
             print(service.organize(a.target, a.copy))
         else:
-            for r in service.organize_plan(a.target).orderBy("src").limit(1000).collect():
+            for r in service.organize_plan(a.target).orderBy("src").toLocalIterator():
                 print(f"{r['src']} -> {r['dst']}")
     elif a.command == "classify":
         print(service.run_classifier())

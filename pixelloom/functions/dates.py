@@ -50,12 +50,17 @@ def unix_to_iso(seconds: Column) -> Column:
     return F.when(s.isNotNull(), text(s))
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
+
+
 def normalize_exif(value: Column) -> Column:
     """EXIF date text as ISO: the date part checked for month and day range and padded, the time part
     passed through as it is.  NULL for a missing or malformed date, a year of 0, or no time part."""
-    text = F.trim(value)
+    text = stripped(value)
     y, m, d = (F.regexp_extract(text, EXIF_DATE, i).try_cast("int") for i in (1, 2, 3))
-    time = F.trim(F.regexp_extract(text, EXIF_DATE, 4))
+    time = stripped(F.regexp_extract(text, EXIF_DATE, 4))
     ok = text.rlike(EXIF_DATE) & (y != 0) & m.between(1, 12) & d.between(1, 31) & (time != "")
     return F.when(ok, F.concat(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("T"), time))
 

@@ -14,12 +14,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.session import seen_in, staging
+
 EARTH_M = 6_371_008.8
 BASE = 4.0
 FINEST = 11  # 360 degrees / 4^11: about 10 m on the equator
-#: Region cells up to this many are broadcast (their number is counted first); more are joined by
-#: a shuffle with salted hot cells.
-MAX_BROADCAST_CELLS = 100_000
+#: Region cells of up to so many bytes, edges included, are broadcast (they are summed first); more are
+#: joined by a shuffle with salted hot cells.
+MAX_BROADCAST_BYTES = 16_000_000
 SALTS = 32
 
 
@@ -129,22 +131,27 @@ def region_cells(r: DataFrame) -> DataFrame:
     return r.withColumn("_i", F.explode(rows)).withColumn("_j", F.explode(columns)).withColumn("cell", _cell(F.col("_a"), F.col("_o"), F.col("_i"), F.col("_j"))).drop("_i", "_j")
 
 
-def points_in_regions(points: DataFrame, places: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+def points_in_regions(points: DataFrame, places: DataFrame) -> DataFrame:
     """(id, place_id) for every point (id, lat, lon) and every place that contains it.
 
     Points with a missing, NaN or out-of-range half are in no region.  Repeated points and repeated
     places give repeated pairs; an empty side gives an empty result."""
+    return _met(points, places).select("id", "place_id")
+
+
+def _met(points: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, place_id, lat, lon, c_lat, c_lon) of points in regions, the region's centre with them."""
     spark = points.sparkSession
     p = points.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     p = p.filter(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & ~F.isnan("lat") & ~F.isnan("lon"))
-    cells = region_cells(regions(places)) if cells is None else cells
+    with staging(spark, "regions") as area:
+        cells = area.write(region_cells(regions(places)), bytes=F.sum(120 + 32 * F.coalesce(F.size("edges"), F.lit(0))))
     # Pairs of levels: bounded by the square of FINEST, whatever the data.
     levels = [(r["_a"], r["_o"]) for r in cells.select("_a", "_o").distinct().collect()]
-    if not levels:
-        return spark.createDataFrame([], p.select("id", F.lit(0).cast("bigint").alias("place_id")).schema)
-    few = len(cells.select("place_id").limit(MAX_BROADCAST_CELLS + 1).collect()) <= MAX_BROADCAST_CELLS
+    few = seen_in(cells, "bytes") <= MAX_BROADCAST_BYTES
     lon = F.when(F.col("lon") >= 180, F.col("lon") - 360).otherwise(F.col("lon"))
     # A point on the pole belongs to the northernmost row that a box touching it has, too.
+    levels = levels or [(0, 0)]  # no region, and no point meets one
     hashed = [_cell(F.lit(a), F.lit(o), _index(F.col("lat") + 90, 180.0, F.lit(a)), _index(lon + 180, 360.0, F.lit(o))) for a, o in levels]
     p = p.withColumn("cell", F.explode(F.array(*hashed)))
     side = cells.drop("_a", "_o", "lon_lo", "lon_span")
@@ -155,14 +162,13 @@ def points_in_regions(points: DataFrame, places: DataFrame, cells: DataFrame | N
         p = p.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
         met = p.join(side.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["cell", "_salt"])
     inside = F.when(F.col("kind") == "circle", great_circle_m(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")) <= F.col("radius_m")).otherwise(in_polygon(F.col("lat"), F.col("lon"), F.col("edges"), F.col("north_pole")))
-    return met.filter(F.col("lat").between(F.col("lat_lo") - 1e-9, F.col("lat_hi") + 1e-9)).filter(inside).select("id", "place_id")
+    return met.filter(F.col("lat").between(F.col("lat_lo") - 1e-9, F.col("lat_hi") + 1e-9)).filter(inside).select("id", "place_id", "lat", "lon", "c_lat", "c_lon")
 
 
 def points_near(points: DataFrame, others: DataFrame, radius_m: float) -> DataFrame:
-    """(id, near_id, distance_m) for every point of ``points`` and every one of ``others`` within a
-    radius: the radius makes a circle of each other point, and its cells meet the points."""
+    """(id, near_id, distance_m) for every point of ``points`` and every one of ``others`` (id, lat, lon)
+    within a radius: the radius makes a circle of each other point, and its cells meet the points.
+    Repeated points count once; points that are no place on earth are near nothing."""
     near = others.select(F.col("id").alias("place_id"), F.lit("circle").alias("kind"), F.col("lat").cast("double").alias("center_lat"), F.col("lon").cast("double").alias("center_lon"), F.lit(float(radius_m)).alias("radius_m"), *[F.lit(None).cast("array<double>").alias(c) for c in ("ring_lat", "ring_lon")])
-    pairs = points_in_regions(points, near.distinct())
-    a, b = points.select("id", "lat", "lon").distinct(), others.select(F.col("id").alias("near_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).distinct()
-    out = pairs.distinct().withColumnRenamed("place_id", "near_id").join(a, "id").join(b, "near_id")
-    return out.select("id", "near_id", great_circle_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")).alias("distance_m")).filter(F.col("distance_m") <= radius_m)
+    out = _met(points.select("id", "lat", "lon").distinct(), near.distinct())
+    return out.select("id", F.col("place_id").alias("near_id"), great_circle_m(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")).alias("distance_m"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,8 @@ from pixelloom.sources import images
 from pixelloom.sources.exif import FIELDS, FileBytes, read_exif
 from pixelloom.sources.sidecar import SUFFIXES, read_strict
 
+#: Names of pictures handed to Spark's image source at once.
+DECODED_AT_ONCE = 10_000
 READ = (
     "path string, size bigint, mtime bigint, width bigint, height bigint, datetime_original string, create_date string, make string, model string, "
     "orientation bigint, gps_lat double, gps_lon double, stamp string, lat double, lon double, blake3 binary, dhash bigint, error string"
@@ -87,14 +90,19 @@ def catalogue_rows(read: DataFrame) -> DataFrame:
 def index(listed: DataFrame, files: DataFrame, folder: str | None = None) -> tuple[DataFrame, dict[str, int]]:
     """New catalogue rows of a scan, and its counts (scanned, added, skipped, errors).  Unchanged files
     are left out before anything is opened; the rows are written once, so nothing is read twice.
-    With ``folder``, pictures that are no PNG get their hash from Spark's image source below it."""
+    With ``folder``, pictures that are no PNG get their hash from Spark's image source, which opens
+    them by name, ``DECODED_AT_ONCE`` at a time."""
     spark = listed.sparkSession
     with staging(spark, "index") as area:
         scan = area.write(listed)
         read = area.write(read_files(changed_since(scan, files)))
         open_ = read.filter("error is null and dhash is null").select("path", "orientation")
-        if folder is not None and open_.limit(1).count():
-            more = images.decoded_hashes(spark, folder, open_).join(open_.select("path"), "path", "left_semi").select("path", F.col("dhash").alias("_d"))
+        if folder is not None:
+            more = spark.createDataFrame([], "path string, _d bigint")
+            names = open_.select("path").toLocalIterator()
+            while piece := [r["path"] for r in islice(names, DECODED_AT_ONCE)]:
+                found = images.decoded_hashes(spark, piece, open_).select("path", F.col("dhash").alias("_d"))
+                more = more.unionByName(area.write(found))
             read = area.write(read.join(more, "path", "left").withColumn("dhash", F.coalesce("dhash", "_d")).drop("_d"))
         counts = read.agg(F.count_if(F.col("error").isNull()).alias("added"), F.count_if(F.col("error").isNotNull()).alias("errors")).first()
         scanned = scan.count()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions import dates, paths, values
 from pixelloom.operators import catalogue, classify, duplicates, hamming, organize
 from pixelloom.plans.tables import table
-from pixelloom.sources import images, sidecar
+from pixelloom.sources import exif, images, sidecar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,9 +103,59 @@ _ISO = """CASE WHEN abs({s}) < 200000000000 THEN strftime(make_timestamp({s} * 1
 
 
 @query("s10_sidecar_parse", "files", sql=f"""SELECT path || '.json' AS path, {_ISO.format(s='mtime')} AS taken_time, CASE WHEN la <> 0 OR lo <> 0 THEN la END AS lat, CASE WHEN la <> 0 OR lo <> 0 THEN lo END AS lon
-FROM (SELECT path, mtime, CASE WHEN isnan(sidecar_lat) OR sidecar_lat IS NULL THEN 0 ELSE sidecar_lat END AS la, CASE WHEN isnan(sidecar_lon) OR sidecar_lon IS NULL THEN 0 ELSE sidecar_lon END AS lo FROM files WHERE sidecar_taken_time IS NOT NULL)""")
+FROM (SELECT path, mtime, CASE WHEN isnan(sidecar_lat) OR sidecar_lat IS NULL THEN 0 ELSE sidecar_lat END AS la, CASE WHEN isnan(sidecar_lon) OR sidecar_lon IS NULL THEN 0 ELSE sidecar_lon END AS lo FROM files WHERE sidecar_taken_time IS NOT NULL)
+UNION ALL SELECT path || '.supplemental-metadata.json', NULL, NULL, NULL FROM files WHERE NOT isnan(coalesce(sidecar_lat, 'nan'::DOUBLE))""")
 def _s10(files):
-    return sidecar.parsed(_sidecars(files).filter(c("text") != "{malformed"))
+    return sidecar.parsed(_sidecars(files))
+
+
+#: Sidecars that a strict reader refuses, and ones it accepts.
+_STRICT = (
+    ('{"photoTakenTime": {"timestamp": "%"}}', True), ('{"photoTakenTime": {"timestamp": %}}', False), ('{"photoTakenTime": "%"}', False), ('[%]', False), ('{"geoData": {"latitude": "%"}}', False),
+    ('{"geoData": {"latitude": %, "longitude": NaN}}', False), ('{"geoData": {"latitude": %, "longitude": true}}', False), ('{"photoTakenTime": {"timestamp": "%"},}', False), ('{"photoTakenTime": {"timestamp": "%"}} x', False),
+    ('{"title": %, "photoTakenTime": {"timestamp": "%"}, "geoData": {"latitude": 1, "longitude": 2.5}}', True),
+)
+_ACCEPTED = """SELECT path, CASE WHEN id % 10 IN (0, 9) THEN id::VARCHAR END AS timestamp, id % 10 IN (0, 9) AS valid FROM files"""
+
+
+@query("f14_strict_sidecars", "files", sql=_ACCEPTED)
+def _f14(files):
+    """Every file with one of ten kinds of sidecar text, of which a strict reader takes two."""
+    kinds = F.array(*[F.lit(text) for text, _ in _STRICT])
+    text = F.replace(F.get(kinds, (c("id") % len(_STRICT)).cast("int")), F.lit("%"), c("id").cast("string"))
+    raw = sidecar.sidecar_raw(text)
+    return files.select("path", raw.alias("_r")).select("path", "_r.timestamp", "_r.valid")
+
+
+def _hex(x, digits):
+    return F.lpad(F.hex(x), digits, "0")
+
+
+@query("s12_dimensions", "files", sql="SELECT id AS file_id, width, height FROM files WHERE width BETWEEN 1 AND 65535 AND height BETWEEN 1 AND 65535")
+def _s12(files):
+    """Dimensions out of headers made of the catalogue's, in turn of PNG, GIF, BMP and JPEG."""
+    little = lambda x, n: F.concat(*[_hex(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)), 2) for i in range(n)])
+    w, h = c("width"), c("height")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), _hex(w, 8), _hex(h, 8), F.lit("0802000000"))
+    gif = F.concat(F.lit("474946383961"), little(w, 2), little(h, 2), F.lit("000000"))
+    bmp = F.concat(F.lit("424D" + "00" * 12 + "28000000"), little(w, 4), little(h, 4), F.lit("0100"))
+    jpeg = F.concat(F.lit("FFD8FFE000040000FFC0001108"), _hex(h, 4), _hex(w, 4), F.lit("03012200021101031101"))
+    data = F.unhex(F.when(c("id") % 4 == 0, png).when(c("id") % 4 == 1, gif).when(c("id") % 4 == 2, bmp).otherwise(jpeg))
+    known = files.filter(w.between(1, 65_535) & h.between(1, 65_535)).select(c("id").alias("file_id"), data.alias("data"))
+    return known.select("file_id", images.header_dimensions(c("data")).alias("_d")).select("file_id", "_d.width", "_d.height")
+
+
+@query("s6_exif_fields", "files", sql="SELECT id AS file_id, trim(exif_make) AS make, orientation FROM files WHERE orientation BETWEEN 0 AND 65535 AND regexp_full_match(exif_make, '[ -~]{5,200}') AND trim(exif_make) = exif_make")
+def _s6(files):
+    """Make and orientation out of JPEGs whose EXIF block is made of the catalogue's."""
+    make, turn = c("exif_make"), c("orientation")
+    own = files.filter(turn.between(0, 65_535) & make.rlike("^[ -~]{5,200}$") & (F.trim(make) == make))
+    text = F.concat(F.hex(make.cast("binary")), F.lit("00"))
+    # Two entries after the header: the make as a text at offset 38, and the orientation in place.
+    tiff = F.concat(F.lit("4D4D002A00000008" + "0002" + "010F0002"), _hex(F.length(make) + 1, 8), F.lit("00000026" + "0112000300000001"), _hex(turn, 4), F.lit("0000" + "00000000"), text)
+    block = F.concat(F.lit("457869660000"), tiff)
+    jpeg = F.unhex(F.concat(F.lit("FFD8FFE1"), _hex((F.length(block) / 2).cast("bigint") + 2, 4), block, F.lit("FFD9")))
+    return own.select(c("id").alias("file_id"), exif.exif_fields(jpeg).alias("_e")).select("file_id", "_e.make", "_e.orientation")
 
 
 @query("s11_geo_pair", "files", sql="""SELECT id AS file_id, CASE WHEN la <> 0 OR lo <> 0 THEN la END AS lat, CASE WHEN la <> 0 OR lo <> 0 THEN lo END AS lon
@@ -442,12 +492,12 @@ def _o6(roots):
     return roots.select("path", "last_scan_ts", "scanned", "added", "skipped", "errors").orderBy(F.desc("last_scan_ts"), "path")
 
 
-@query("k10_move_duplicates", "files", "hashes", sql=rf"""WITH {_EXACT}, p AS (SELECT file_id, path AS src, 'E:\_Duplicates\' || {_NAME} AS d FROM m QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY raw DESC NULLS LAST, file_id) > 1)
-SELECT count(*) AS moves, count(DISTINCT src) AS sources, count(*) AS targets FROM p""")
+@query("k10_move_duplicates", "files", "hashes", sql=rf"""WITH {_EXACT}, p AS (SELECT file_id, path AS src, 'E:\_Duplicates\' || {_NAME} AS d FROM m QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY raw DESC NULLS LAST, file_id) > 1),
+k AS (SELECT *, regexp_extract(d, '^(.*?)(\.[^.\\]*)?$', 1) AS s, regexp_extract(d, '^(.*?)(\.[^.\\]*)?$', 2) AS x, row_number() OVER (PARTITION BY d ORDER BY src) - 1 AS r FROM p)
+SELECT file_id, src, CASE WHEN r = 0 THEN d ELSE s || ' (' || r || ')' || x END AS dst FROM k""")
 def _k10(files, hashes):
     ranked = duplicates.ranked_members(duplicates.exact_members(files, hashes))
-    plan = organize.plan_into(ranked.filter("preselected").select("path"), files, "E:\\_Duplicates")
-    return plan.agg(F.count("*").alias("moves"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    return organize.plan_into(ranked.filter("preselected").select("path"), files, "E:\\_Duplicates")
 
 
 # ---------------------------------------------------------------- functions
@@ -456,11 +506,12 @@ def _f1(files):
     return files.select(c("id").alias("file_id"), dates.unix_to_iso(c("mtime")).alias("iso"))
 
 
+_WS = r"regexp_replace({}, '^[\s\x0B\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x0B\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
 _RE = r"^([0-9]+)[:/-]([0-9]+)[:/-]([0-9]+)(?: (.*))?$"
 
 
 @query("f2_normalize_exif", "files", sql=f"""SELECT file_id, CASE WHEN t <> '' AND y <> 0 AND m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 THEN printf('%04d-%02d-%02dT', y, m, d) || t END AS iso
-FROM (SELECT id AS file_id, try_cast(regexp_extract(x, '{_RE}', 1) AS INTEGER) AS y, try_cast(regexp_extract(x, '{_RE}', 2) AS INTEGER) AS m, try_cast(regexp_extract(x, '{_RE}', 3) AS INTEGER) AS d, trim(regexp_extract(x, '{_RE}', 4)) AS t FROM (SELECT id, trim(exif_datetime) AS x FROM files))""")
+FROM (SELECT id AS file_id, try_cast(regexp_extract(x, '{_RE}', 1) AS INTEGER) AS y, try_cast(regexp_extract(x, '{_RE}', 2) AS INTEGER) AS m, try_cast(regexp_extract(x, '{_RE}', 3) AS INTEGER) AS d, {_WS.format('regexp_extract(x, ' + chr(39) + _RE + chr(39) + ', 4)')} AS t FROM (SELECT id, {_WS.format('exif_datetime')} AS x FROM files))""")
 def _f2(files):
     return files.select(c("id").alias("file_id"), dates.normalize_exif(c("exif_datetime")).alias("iso"))
 

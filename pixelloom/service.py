@@ -29,6 +29,7 @@ class Service:
     def __init__(self, store: Store):
         self.store, self.spark = store, store.spark
         store.create()
+        self._finish()  # moves that a lost driver left half way
 
     def _table(self, name: str) -> DataFrame:
         return self.store.read(name)
@@ -90,14 +91,26 @@ class Service:
 
     # ------------------------------------------------------------ moving
     def _carry_out(self, plan: DataFrame, op: str) -> dict[str, int]:
+        """Moves or copies, the log and the catalogue's paths as one: what is to be done is stored first
+        and forgotten last, and every step between may be repeated."""
+        after = self._table("undo_log").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        self.store.write("pending", plan.select("file_id", "src", "dst", F.lit(op).alias("op"), F.lit(after).cast("bigint").alias("after"), F.lit(int(time.time())).alias("ts")))
+        return self._finish()
+
+    def _finish(self) -> dict[str, int]:
+        pending = self._table("pending")
+        begun = pending.first()
+        if begun is None:
+            return {"moved": 0, "errors": 0}
         with staging(self.spark, "moves") as area:
-            done = area.write(sink.execute(area.write(plan), op))
-            log = self._table("undo_log")
-            after = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-            self.store.write("undo_log", log.unionByName(sink.log_entries(done, after, int(time.time()))))
-            if op == "move":
+            done = area.write(sink.execute(pending, begun["op"]))
+            log = self._table("undo_log").filter(F.col("id") <= begun["after"])
+            self.store.write("undo_log", log.unionByName(sink.log_entries(done, begun["after"], begun["ts"])))
+            if begun["op"] == "move":
                 self.store.write("files", organize.after_moves(self._table("files"), done.filter("error is null").select("file_id", "dst")))
-            return organize.outcome_counts(done).first().asDict()
+            counts = organize.outcome_counts(done).first().asDict()
+            self.store.write("pending", pending.limit(0))
+            return counts
 
     def organize_plan(self, target: str) -> DataFrame:
         return organize.plan_by_date(self._table("files"), target)
@@ -106,12 +119,12 @@ class Service:
         """Carries the plan out: moved, errors."""
         return self._carry_out(self.organize_plan(target), "copy" if copy else "move")
 
-    def move_to_duplicates(self, paths: list[str]) -> dict[str, int]:
-        """Moves selected files into a folder beside the first of them."""
+    def move_to_duplicates(self, paths: list[str], dest_dir: str | None = None) -> dict[str, int]:
+        """Moves selected files into a folder, by default one beside the first of them."""
         if not paths:
             return {"moved": 0, "errors": 0}
         chosen = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        folder = self.spark.range(1).select(organize.duplicates_folder(F.lit(paths[0]))).first()[0]
+        folder = dest_dir or self.spark.range(1).select(organize.duplicates_folder(F.lit(paths[0]))).first()[0]
         return self._carry_out(organize.plan_into(chosen, self._table("files"), folder), "move")
 
     def undo_moves(self, n: int = 1) -> dict[str, int]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import errno
+import filecmp
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,24 +24,53 @@ def native(path: str) -> str:
 
 def execute_one(src: str, dst: str, op: str) -> str | None:
     """Moves or copies a file, creating the folder; the error's text, or None.  A move across file
-    systems is a copy and a removal.  An existing target is never replaced."""
+    systems is a copy and a removal.  An existing target is never replaced; one that an earlier
+    attempt at the same entry left is what was asked for."""
     try:
         os.makedirs(os.path.dirname(dst) or ".", exist_ok=True)
         if os.path.exists(dst):
-            return f"exists: {dst}"
-        if op == "copy":
-            shutil.copy2(src, dst)
-        else:
-            shutil.move(src, dst)
+            return None if _left_by_earlier_attempt(src, dst, op) else f"exists: {dst}"
+        if op == "move":
+            try:
+                os.rename(src, dst)
+                return None
+            except OSError as e:
+                if e.errno != errno.EXDEV:
+                    raise
+        # Named in one step, so that a target is whole or not there.
+        part = f"{dst}.{uuid.uuid4().hex[:8]}.part"
+        try:
+            shutil.copy2(src, part)
+            os.rename(part, dst)
+        finally:
+            if os.path.exists(part):
+                os.unlink(part)
+        if op == "move":
+            os.unlink(src)
     except OSError as e:
         return str(e)
     return None
 
 
+def _left_by_earlier_attempt(src: str, dst: str, op: str) -> bool:
+    """Whether an existing target is this entry's own: a task may run again after it moved a file, or
+    between the copy and the removal of a move across file systems, which is then finished."""
+    if not os.path.exists(src):
+        return op == "move"
+    there, here = os.stat(dst), os.stat(src)
+    if (there.st_size, int(there.st_mtime)) != (here.st_size, int(here.st_mtime)) or not filecmp.cmp(src, dst, shallow=False):
+        return False
+    if op == "move":
+        if there.st_dev == here.st_dev:  # a rename leaves no source behind
+            return False
+        os.unlink(src)
+    return True
+
+
 def execute(plan: DataFrame, op: str = "move") -> DataFrame:
     """(file_id, src, dst, op, error) of each entry of a plan (file_id, src, dst).  It acts on folders
-    that all executors share and is carried out once, when its result is first written: write that
-    result, and read it for the log and the catalogue."""
+    that all executors share, when its result is written: read what was written for the log and the
+    catalogue.  Tasks that run again, and whole repetitions, give the same result."""
     if op not in ("move", "copy"):
         raise ValueError(f"unknown operation: {op}")
 

@@ -174,11 +174,18 @@ def _plain_path(origin: Column) -> Column:
     return F.url_decode(F.regexp_replace(F.regexp_replace(origin, "^file:(?://)?", ""), r"\+", "%2B"))
 
 
-def decoded_hashes(spark: SparkSession, folder: str, orientation: DataFrame | None = None) -> DataFrame:
-    """(path, width, height, dhash) of all images below a folder that Spark's image source decodes
-    (JPEG, PNG, BMP, GIF), turned upright by ``orientation`` (path, orientation).  That source skips
-    folders whose names begin with a dot or an underscore; what it can't decode is left out."""
-    df = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
+def _no_pattern(path: str) -> str:
+    """A path whose name is no pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def decoded_hashes(spark: SparkSession, place: str | list[str], orientation: DataFrame | None = None) -> DataFrame:
+    """(path, width, height, dhash) of images that Spark's image source decodes (JPEG, PNG, BMP, GIF),
+    all below a folder or those of a list of files, turned upright by ``orientation`` (path,
+    orientation).  In a folder that source skips folders whose names begin with a dot or an
+    underscore; what it can't decode is left out."""
+    places = [_no_pattern(p) for p in ([place] if isinstance(place, str) else place)]
+    df = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(places)
     df = df.select(_plain_path(F.col("image.origin")).alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
     turned = df.withColumn("orientation", F.lit(None).cast("bigint")) if orientation is None else df.join(orientation.select("path", "orientation"), "path", "left")
 
@@ -197,8 +204,7 @@ def decoded_hashes(spark: SparkSession, folder: str, orientation: DataFrame | No
 def decoded_thumbnails(spark: SparkSession, place: str, edge: int = 256) -> DataFrame:
     """(path, thumbnail) of an image file, or of all images below a folder, that Spark's image source
     decodes; see :func:`decoded_hashes`."""
-    escaped = re.sub(r"([\\\[\]{}*?])", r"\\\1", place)  # a name is no pattern
-    df = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(escaped)
+    df = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(_no_pattern(place))
     df = df.select(_plain_path(F.col("image.origin")).alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
 
     def run(h: pd.Series, w: pd.Series, n: pd.Series, data: pd.Series) -> pd.Series:

@@ -1,7 +1,7 @@
 """Listing of image files, and everything indexing reads from them.
 
-Folders are listed by tasks, level by level: the driver holds only the folders of one level that
-are still to be entered, never the files.
+Folders are listed by tasks, level by level, each once: a level is written out, and its folders are
+the next one's work.  The driver only learns their number.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.operators.catalogue import IMAGE_EXTENSIONS, SKIPPED_FOLDERS
+from pixelloom.session import seen_in, staging
 from pixelloom.sinks.files import native
 
 LISTED = "path string, size bigint, mtime bigint, is_dir boolean"
@@ -55,18 +56,22 @@ def enumerate_images(spark: SparkSession, root: str, user_skips: list[str] | Non
     names are never entered, the root itself excepted; user skips hold for the root, too."""
     skips = [_fold(s).rstrip("\\") for s in user_skips or []]
     out = spark.createDataFrame([], "path string, size bigint, mtime bigint")
-    level = [] if _skipped(root, skips) else [root]
+    if _skipped(root, skips):
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for p in b["path"] for r in list_folder(p, skips)]
-            yield pd.DataFrame({"path": [r[0] for r in rows], "size": pd.array([r[1] for r in rows], "Int64"), "mtime": pd.array([r[2] for r in rows], "Int64"), "is_dir": [r[3] for r in rows]})
-
-    while level:
-        tasks = min(len(level), 4 * spark.sparkContext.defaultParallelism)
-        found = spark.createDataFrame([(p,) for p in level], "path string").repartition(tasks).mapInPandas(run, LISTED)
-        level = [r["path"] for r in found.filter("is_dir").select("path").collect()]
-        out = out.unionByName(found.filter("not is_dir").drop("is_dir"))
+            for p in b["path"]:
+                rows = list(list_folder(p, skips))
+                yield pd.DataFrame({"path": [r[0] for r in rows], "size": pd.array([r[1] for r in rows], "Int64"), "mtime": pd.array([r[2] for r in rows], "Int64"), "is_dir": pd.array([r[3] for r in rows], bool)})
+
+    level, folders = spark.createDataFrame([(root,)], "path string"), 1
+    with staging(spark, "scan") as area:
+        while folders:
+            tasks = min(folders, 4 * spark.sparkContext.defaultParallelism)
+            found = area.write(level.repartition(tasks).mapInPandas(run, LISTED), folders=F.count_if("is_dir"))
+            out = out.unionByName(found.filter("not is_dir").drop("is_dir"))
+            level, folders = found.filter("is_dir").select("path"), seen_in(found, "folders")
     return out
 
 

@@ -414,6 +414,67 @@ def test_moves_are_carried_out_and_undone(spark, album, tmp_path):
     assert service.thumbnail(str(album / "b.PNG"), 64).startswith("data:image/png;base64,") and service.thumbnail("nowhere") is None
 
 
+def test_moves_may_be_repeated(spark, tmp_path):
+    from pixelloom.sinks import files as sink
+
+    for name in "abc":
+        (tmp_path / name).write_text(name)
+    (tmp_path / "to").mkdir()
+    (tmp_path / "to" / "c").write_text("another")
+    plan = spark.createDataFrame([(i, str(tmp_path / n), str(tmp_path / "to" / n)) for i, n in enumerate("abcx")], "file_id bigint, src string, dst string")
+    once = sorted(map(tuple, sink.execute(plan).collect()))
+    assert sorted(map(tuple, sink.execute(plan).collect())) == once  # a task that runs again
+    assert [r[4] is None for r in once] == [True, True, False, False] and (tmp_path / "c").read_text() == "c" and (tmp_path / "to" / "c").read_text() == "another"
+    copies = plan.filter("file_id < 2").selectExpr("file_id", "dst as src", "src as dst")
+    assert [r["error"] for r in sink.execute(copies, "copy").collect()] == [None, None] == [r["error"] for r in sink.execute(copies, "copy").collect()]
+    (tmp_path / "a").write_text("changed")
+    assert [r["error"] is None for r in sink.execute(copies, "copy").orderBy("file_id").collect()] == [False, True]
+    assert not list(tmp_path.rglob("*.part"))
+
+
+@pytest.mark.parametrize("lost", ["undo_log", "files", "pending"])
+def test_moves_of_a_lost_driver_are_finished(spark, album, tmp_path, monkeypatch, lost):
+    service = Service(Store(spark, str(tmp_path / "db")))
+    service.scan_dir(str(album))
+    write, started = Store.write, []
+
+    def failing(self, name, df, keep=2):
+        if name == "pending":
+            started.append(1)
+        if name == lost and len(started) == (2 if lost == "pending" else 1) and started:
+            raise RuntimeError("gone")
+        return write(self, name, df, keep)
+
+    monkeypatch.setattr(Store, "write", failing)
+    with pytest.raises(RuntimeError):
+        service.organize(str(tmp_path / "sorted"))
+    monkeypatch.setattr(Store, "write", write)
+    service = Service(Store(spark, str(tmp_path / "db")))  # the next start
+    assert service._table("undo_log").count() == 4 and service._table("pending").count() == 0
+    assert {r["path"] for r in service._table("files").collect()} == {str(p) for p in (tmp_path / "sorted").rglob("*.*") if p.is_file()}
+    assert service.undo_moves(10) == {"moved": 4, "errors": 0}
+    one = str(album / "plain.png")
+    assert service.move_to_duplicates([one], str(tmp_path / "elsewhere")) == {"moved": 1, "errors": 0} and (tmp_path / "elsewhere" / "plain.png").exists()
+
+
+def test_reports_are_printed_whole(spark, capsys):
+    from pixelloom import cli
+
+    members = spark.createDataFrame([(g, 100 * g + i, f"/{g}/{i}", 1000 * (61 - g), None, None) for g in range(60) for i in range(25)], "group_id bigint, file_id bigint, path string, size bigint, width bigint, height bigint")
+    cli._print_report(duplicates.report(members, 0), members)
+    lines = capsys.readouterr().out.splitlines()
+    assert len(lines) == 1 + 60 + 60 * 25 and lines[1].startswith("group 0: 25 files") and lines[2].startswith("  /0/0 ")
+
+
+def test_ranks_of_hot_groups_by_pieces(spark, monkeypatch):
+    from pixelloom.functions import ranks
+
+    rows = spark.range(3000).selectExpr("id % 7 = 0 as hot", "id", "id * 7919 % 1000 as v").selectExpr("if(hot, 0, id % 50) as g", "id", "v")
+    order = [F.desc_nulls_last("v"), F.col("id")]
+    want = {(r["id"], r["rank"]) for r in ranks.ranked(rows, "g", order).collect()}
+    assert {(r["id"], r["rank"]) for r in ranks.ranked_by_pieces(rows, "g", order).collect()} == want
+
+
 def test_plans_leave_taken_names(spark, tmp_path):
     rows = [("D:/Sorted/2023/01/a.jpg", "2023-01-02"), ("C:\\x\\a.jpg", "2023-01-09"), ("C:\\x\\b.jpg", "2023-01-09"), ("D:\\Sorted\\2022\\05\\b.jpg", "2023-01-03"), ("D:\\Sorted2\\c.jpg", "2023-01-03"), ("C:\\y\\b.jpg", "2022-05-01")]
     f = files_frame(spark, [{"id": i, "path": p, "resolved_date": d} for i, (p, d) in enumerate(rows)])

@@ -75,7 +75,7 @@ def test_shuffled_join_gives_the_same(spark, sf, monkeypatch):
     R = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
     run = lambda: sorted(map(tuple, G.points_in_regions(G.locations(R("files")), R("places")).collect()))
     want = run()
-    monkeypatch.setattr(G, "MAX_BROADCAST_CELLS", 10)
+    monkeypatch.setattr(G, "MAX_BROADCAST_BYTES", 10)
     assert run() == want
 
 

@@ -183,3 +183,9 @@ def test_whole_table_against_brute_force(spark, sf):
             want.add((r["id"], r["source"], e))
     got = {tuple(r) for r in T.catalogue_instants(R("files"), R("scan_roots"), R("root_zones")).collect()}
     assert got == want and len(want) > 500
+
+
+def test_repeated_and_skipped_wall_times_are_marked(spark):
+    rows = [("2015-10-25 02:30", "Europe/Berlin", "repeated"), ("2015-03-29 02:30", "Europe/Berlin", "skipped"), ("2015-10-25 03:30", "Europe/Berlin", None), ("2015-04-05 01:45", "Australia/Lord_Howe", "repeated"), ("2015-10-25 02:30+01:00", "Europe/Berlin", None), ("1443840428", "Europe/Berlin", None), ("2012-04-01 02:30", "Etc/UTC", None)]
+    df = spark.createDataFrame([(i, "s", v, z, False, None, None) for i, (v, z, _) in enumerate(rows)], VALUES)
+    assert [r["fold"] for r in T.normalise(df).orderBy("id").collect()] == [f for *_, f in rows]
