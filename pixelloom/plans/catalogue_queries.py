@@ -6,6 +6,7 @@ T incremental forms.  Each runs over its whole tables.
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ def query(name: str, *tables: str, sql: str | None = None):
 
 
 def _lower(x: str) -> str:
-    return f"translate({x}, '{paths.UPPER}', '{paths.LOWER}')"
+    return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def _back(x: str) -> str:
@@ -49,7 +50,8 @@ c = F.col
 
 
 # ---------------------------------------------------------------- sources
-_IMAGE = ", ".join(f"'{x}'" for x in catalogue.IMAGE_EXTENSIONS)
+# The oracles state fixed values themselves, so that a wrong one in an operator is seen.
+_IMAGE = "'jpg', 'jpeg', 'png', 'heic', 'webp', 'bmp', 'gif'"
 
 
 @query("s2_image_extension", "files", sql=f"SELECT id AS file_id, {_lower(_EXT)} AS extension, {_lower(_EXT)} IN ({_IMAGE}) AS is_image FROM files")
@@ -57,7 +59,7 @@ def _s2(files):
     return files.select(c("id").alias("file_id"), paths.ascii_lower(paths.extension(c("path"))).alias("extension"), catalogue.is_image(c("path")).alias("is_image"))
 
 
-_SKIPPED = ", ".join(f"'{x}'" for x in catalogue.SKIPPED_FOLDERS)
+_SKIPPED = "'windows', 'program files', 'program files (x86)', 'programdata', '$recycle.bin', 'system volume information', 'node_modules', '.git', 'windowsapps'"
 
 
 @query("s3_skipped_names", "files", sql=f"SELECT id AS file_id, list_has_any(p[2:len(p) - 1], [{_SKIPPED}]) AS skipped FROM (SELECT id, list_transform({_PARTS}, lambda x: {_lower('x')}) AS p FROM files)")
@@ -227,8 +229,9 @@ def _k4(skips):
     return catalogue.add_skip_dir(catalogue.remove_skip_dir(skips, "Q:\\"), "X:\\new")
 
 
-_SCREENS = ", ".join(f"({w}, {h}), ({h}, {w})" for w, h in classify.SCREEN_SIZES)
-_ASSETS = ", ".join(f"'{x}'" for x in classify.ASSET_FOLDERS)
+_SCREENS = "(1280, 720), (1280, 800), (1366, 768), (1440, 900), (1536, 864), (1600, 900), (1680, 1050), (1920, 1080), (1920, 1200), (2560, 1440), (2560, 1600), (3440, 1440), (3840, 2160), (750, 1334), (828, 1792), (1080, 1920), (1080, 2340), (1080, 2400), (1170, 2532), (1179, 2556), (1284, 2778), (1290, 2796), (1440, 2960), (1440, 3040), (1440, 3200)"
+_SCREENS += ", " + ", ".join(f"({h}, {w})" for w, h in ast.literal_eval(f"[{_SCREENS}]"))
+_ASSETS = "'assets', 'cache', 'thumbnails', '.thumbnails', 'icons'"
 _RULE = f"""CASE WHEN exif_make IS NOT NULL OR exif_model IS NOT NULL THEN 'exif_camera'
  WHEN regexp_matches({_lower(_NAME)}, '^(screenshot|screen shot|scrnshot)') THEN 'screenshot_filename'
  WHEN list_has_any(list_transform({_PARTS}, lambda x: {_lower('x')}), [{_ASSETS}]) THEN 'asset_path'
@@ -516,8 +519,9 @@ def _f2(files):
     return files.select(c("id").alias("file_id"), dates.normalize_exif(c("exif_datetime")).alias("iso"))
 
 
-_G = lambda i, x: f"regexp_extract({x}, '{dates.FILENAME_DATE}', {i})"
-_NAMED = lambda x: f"""CASE WHEN regexp_matches({x}, '{dates.FILENAME_DATE}') THEN {_G(1, x)} || '-' || {_G(2, x)} || {_G(4, x)} || '-' || {_G(3, x)} || {_G(5, x)} || 'T' || coalesce(nullif({_G(6, x)}, ''), '00') || ':' || coalesce(nullif({_G(7, x)}, ''), '00') || ':' || coalesce(nullif({_G(8, x)}, ''), '00') END"""
+_DATED = r"(19[7-9][0-9]|20[0-9]{2})(?:[-_./](0[1-9]|1[0-2])[-_./](0[1-9]|[12][0-9]|3[01])|(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01]))(?:[ Tt_-]?([01][0-9]|2[0-3])([0-5][0-9])([0-5][0-9]))?"
+_G = lambda i, x: f"regexp_extract({x}, '{_DATED}', {i})"
+_NAMED = lambda x: f"""CASE WHEN regexp_matches({x}, '{_DATED}') THEN {_G(1, x)} || '-' || {_G(2, x)} || {_G(4, x)} || '-' || {_G(3, x)} || {_G(5, x)} || 'T' || coalesce(nullif({_G(6, x)}, ''), '00') || ':' || coalesce(nullif({_G(7, x)}, ''), '00') || ':' || coalesce(nullif({_G(8, x)}, ''), '00') END"""
 
 
 @query("f3_filename_date", "files", sql=f"SELECT id AS file_id, {_NAMED('name')} AS iso FROM (SELECT id, {_NAME} AS name FROM files)")
