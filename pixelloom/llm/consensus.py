@@ -246,28 +246,34 @@ def _block_votes(t: pa.Table, trusted: tuple[int, ...]) -> pa.Table:
     size = np.diff(np.r_[start, len(t)])
     [(ids, offsets), (seed_ids, seed_offsets)], words = _token_ids(t.column("tokens"), t.column("seed"))
     votes, field = t.column("votes").to_numpy(), t.column("field").to_numpy()
-    is_seed = pc.equal(t.column("value"), t.column("seed_value")).to_numpy()
+    is_seed = np.asarray(pc.equal(t.column("value"), t.column("seed_value")))
     rows_out: list[tuple[np.ndarray, ...]] = []
-    for s, n in zip(start, size):
-        own = np.arange(s, s + n)
-        own = own[~is_seed[own]]
-        present = n > len(own)
-        seq, length = _padded(ids, offsets, own) if len(own) else (np.empty((0, 1), np.int32), np.empty(0, np.int64))
-        first, n_first = _padded(seed_ids, seed_offsets, np.array([s]))
-        width = max(seq.shape[1], first.shape[1])
-        seq = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1])), constant_values=-1) for x in (first, seq)])[None]
-        of = np.r_[s + int(np.flatnonzero(is_seed[s : s + n])[0]) if present else s, own]
-        cast = np.r_[votes[of[0]] if present else 0, votes[own]]
-        weight = _weights(np.r_[max(cast), votes[own]][None, :], np.isin(field[[s]], trusted))
-        columns, used = align(seq, np.r_[n_first, length][None], weight)
-        m = columns[0, :, : used[0]]
-        at = np.cumsum(m[0] >= 0) - 1
-        nth = np.arange(len(at)) - np.maximum.accumulate(np.where(m[0] >= 0, np.arange(len(at)), -1))
-        v, c = np.nonzero(np.broadcast_to(cast[:, None] > 0, m.shape))
-        key = c.astype(np.int64) * (len(words) + 1) + m[v, c] + 1
-        kinds, where, back = np.unique(key, return_index=True, return_inverse=True)  # the first value is the best one
-        col, tok = kinds // (len(words) + 1), kinds % (len(words) + 1) - 1
-        rows_out.append((of[v[where]], at[col], nth[col], tok, np.bincount(back, cast[v]).astype(np.int64)))
+    longest = np.maximum(np.maximum.reduceat(np.diff(offsets), start), np.diff(seed_offsets)[start])
+    for g in _batches(size + 1, longest):
+        # The seed stands first; where it is of this block, its own row is left out, which is the first.
+        present = is_seed[start[g]]
+        n = size[g] - present
+        place = np.arange(max(1, int(n.max())))
+        inside = place[None, :] < n[:, None]
+        row = np.minimum((start[g] + present)[:, None] + place[None, :], len(t) - 1)
+        rest, n_rest = _padded(ids, offsets, row.ravel())
+        first, n_first = _padded(seed_ids, seed_offsets, start[g])
+        width = max(rest.shape[1], first.shape[1])
+        wide = lambda x: np.pad(x, ((0, 0), (0, width - x.shape[1])), constant_values=-1)  # noqa: B023, E731
+        seq = np.concatenate([wide(first)[:, None], wide(rest).reshape(len(g), len(place), width)], axis=1)
+        length = np.concatenate([n_first[:, None], np.where(inside, n_rest.reshape(inside.shape), 0)], axis=1)
+        of = np.concatenate([start[g][:, None], row], axis=1)
+        cast = np.concatenate([np.where(present, votes[start[g]], 0)[:, None], np.where(inside, votes[row], 0)], axis=1)
+        weight = _weights(np.maximum(cast, np.r_[[1], [0] * len(place)] * cast.max(axis=1)[:, None]), np.isin(field[start[g]], trusted)) * (length > 0)
+        m, used = align(seq, length, weight)
+        seeded = m[:, 0] >= 0
+        index = np.broadcast_to(np.arange(m.shape[2]), seeded.shape)
+        at = np.cumsum(seeded, axis=1) - 1
+        nth = index - np.maximum.accumulate(np.where(seeded, index, -1), axis=1)
+        b, v, c = np.nonzero((cast > 0)[:, :, None] & (index < used[:, None])[:, None, :])
+        key = (b * m.shape[2] + c) * (len(words) + 1) + m[b, v, c] + 1
+        _, where, back = np.unique(key, return_index=True, return_inverse=True)  # the first value is the best one
+        rows_out.append((of[b, v][where], at[b, c][where], nth[b, c][where], m[b, v, c][where], np.bincount(back, cast[b, v]).astype(np.int64)))
     row, at, nth, tok, n = (np.concatenate(x) for x in zip(*rows_out))
     out = t.take(pa.array(row))
     token = words.take(pa.array(np.maximum(tok, 0)))
