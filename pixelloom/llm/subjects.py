@@ -229,6 +229,8 @@ def _document_counts(model: SubjectModel, texts: list[str], threshold: np.ndarra
     """Sentences about each subject, by text."""
     codes, of, doc = encoded(texts, model.letters)
     docs = len(texts)
+    if not len(doc):
+        return np.zeros((docs, len(model.subjects)), np.int64)
     total, letters = model.scores(codes, of)
     subject = decide(total, letters, threshold)
     out = np.zeros((docs, len(model.subjects)), np.int64)
